@@ -76,12 +76,13 @@ def text_key(text: Column) -> Column:
 def drop_documents(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose (doc_id, text_key) isn't in ``dropped`` (columns doc_id, tkey); all its columns.
 
-    ``dropped`` holds few rows beside docs. Spark chooses the join by the size it measures.
+    ``dropped`` has no text, but grows with docs, so both sides are shuffled, at any size; a hash table of the ids
+    spares sorting the texts.
     """
     d, k = fresh(docs, "_drop_id"), fresh(docs, "_drop_key")
     out = docs.withColumn(k, text_key(F.col("text")))
     gone = dropped.select(F.col("doc_id").alias(d), F.col("tkey").alias(k + "_r"))
-    return out.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(k + "_r")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(k + "_r")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def collapse_repeats(docs: DataFrame, has_repeats: bool) -> DataFrame:

@@ -80,7 +80,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     docs = collapse_repeats(docs, bool(p.agg(F.max("n_rows") > 1).first()[0]))
     k, d, r, n, i = (fresh(docs, x) for x in ("_mix_key", "_mix_id", "_mix_rkey", "_mix_n", "_mix_i"))
     right = p.where("copies > 0").select(F.col("doc_id").alias(d), F.col("tkey").alias(r), F.col("copies").cast("int").alias(n))
-    out = docs.withColumn(k, text_key(F.col("text"))).join(right, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(r)))
+    out = docs.withColumn(k, text_key(F.col("text"))).join(right.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(r)))
     return out.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
