@@ -97,8 +97,8 @@ def local_fallback(pipeline_id: Column, ocr_text: Column, content: Column | None
     long_enough, given = F.length(plain) >= 24, N.present(pipeline_id)
     own = F.concat(F.lit("LOCAL-DOC-"), F.when(long_enough, short_sha(plain)).otherwise(short_sha(bytes_)))
     return F.struct(
-        F.coalesce(given, own).alias("id"), F.when(given.isNotNull(), "docid").otherwise("local-fallback").alias("provider"),
-        F.when(given.isNotNull(), "get_document_id").when(long_enough, "ocr-text").otherwise("file-sha256").alias("source"),
+        F.coalesce(given, own).alias("id"), F.when(given.isNotNull(), "pipeline").otherwise("local-fallback").alias("provider"),
+        F.when(given.isNotNull(), "identity").when(long_enough, "ocr-text").otherwise("file-sha256").alias("source"),
     )
 
 
