@@ -5,11 +5,13 @@ if any sentence is, so its probability is the noisy-or of its sentences'. Traini
 document labels through the noisy-or, allowing a share NOISE of toxic labels without cause; weights that stay small are
 set to zero by soft thresholding. The trained model says which sentences offend, of which no label told.
 
-Training takes at most TRAIN_ROWS labelled documents (those of smallest xxhash64 of doc_id); the driver gets hashes of words, no text. Scoring
-reads whole texts in Arrow batches, looks words up in one sorted table, and shuffles nothing.
+Training takes at most TRAIN_ROWS labelled documents (those of smallest xxhash64 of doc_id). Executors turn them into hashes of words by
+sentence and count in how many documents each word is; the driver gets the words of MIN_DOCS documents or more, as numbers, and no
+text. Scoring reads whole texts in Arrow batches, looks words up in one sorted table, and shuffles nothing.
 
 Defined cases: a word is a run of letters and digits, in lower case; a sentence ends at . ! ? or a line break. A NULL text, or one
-without words, has score 0. Repeated rows get a score each. Without labels of both classes nothing is toxic. Labels are
+without words, has score 0. Repeated rows get a score each. Without labels of both classes,
+or where no word sets them apart, nothing is toxic. Labels are
 taken by doc_id, the largest where there are several; NULL labels don't count. An empty table gives an empty result.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import table
+from .common import materialize, table
 from .quality import labelled
 
 TRAIN_ROWS = 8_000
@@ -51,14 +53,14 @@ def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 class NoisyOr:
     """Sorted word hashes, their weights, and the weight of an empty sentence."""
 
-    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
-        """docs: for each document its words' hashes and the numbers of their sentences, from 0."""
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_sent: np.ndarray | None = None) -> None:
+        """docs: for each document its words' hashes and the numbers of their sentences, from 0; n_sent: its sentences, where some have none of the words."""
         self.words, self.weights, self.bias = np.zeros(0, np.uint64), np.zeros(0), -8.0
         y = np.asarray(y, float)
         if not len(y) or y.min() == y.max():
             self.bias = -50.0
             return
-        n_sent = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in docs])
+        n_sent = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in docs]) if n_sent is None else np.asarray(n_sent, np.int64)
         base = np.cumsum(n_sent) - n_sent
         h = np.concatenate([h for h, _ in docs])
         sent = np.concatenate([s + b for (_, s), b in zip(docs, base, strict=True)])
@@ -85,7 +87,7 @@ class NoisyOr:
             w += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-5)
             w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - RATE * SPARSE / len(docs) / (np.sqrt(v[:-1] / (1 - 0.999**t)) + 1e-5), 0)
         used = np.abs(w[:-1]) > 0.05
-        self.words, self.weights, self.bias = vocabulary[used], w[:-1][used], float(w[-1])
+        self.words, self.weights, self.bias = vocabulary[used], w[:-1][used], float(w[-1]) if used.any() else -50.0
 
     def sentence_scores(self, h: np.ndarray, sent: np.ndarray, n: int) -> np.ndarray:
         z = np.full(n, self.bias)
@@ -103,20 +105,41 @@ class NoisyOr:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> NoisyOr:
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            ids, y = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False)
+            ids, y = b.column("doc_id"), b.column("y")
             for row, data, off in bs.batches(b.column("text")):
                 h, r, sent, _, _ = sentences(data, off)
                 first = np.searchsorted(r, np.arange(len(off)))
                 start = np.concatenate([sent, [0]])[first[:-1]]
                 own = (sent - start[r]).astype(np.int32)
-                cut = pa.array(first.astype(np.int32))
-                k = slice(row, row + len(off) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(y[k]), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(own))], ["doc_id", "y", "h", "s"])
+                by = np.lexsort((h, sent))
+                h, own, r, sent = h[by], own[by], r[by], sent[by]
+                once = np.ones(len(h), bool)  # a sentence is a set of words
+                once[1:] = (h[1:] != h[:-1]) | (sent[1:] != sent[:-1])
+                h, own, r = h[once], own[once], r[once]
+                cut = np.searchsorted(r, np.arange(len(off))).astype(np.int32)
+                n = np.array([own[z - 1] + 1 if z > a else 0 for a, z in zip(cut, cut[1:], strict=False)], np.int32)
+                size = len(off) - 1
+                yield pa.RecordBatch.from_arrays([ids.slice(row, size), y.slice(row, size), pa.array(n), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(own))], ["doc_id", "y", "n", "h", "s"])
 
     rows = labelled(docs, labels, "toxic", most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("y").cast("int").alias("y"))
-    got = rows.mapInArrow(scan, "doc_id long, y int, h array<long>, s array<int>").toPandas().sort_values("doc_id", kind="stable")
-    pairs = [(np.asarray(h, np.int64).view(np.uint64), np.asarray(s, np.int64)) for h, s in zip(got["h"], got["s"], strict=True)]
-    return NoisyOr(pairs, got["y"].to_numpy() == 1)
+    rows = materialize(rows.mapInArrow(scan, "doc_id long, y int, n int, h array<long>, s array<int>"), "op9-training")
+    frequent = rows.select(F.explode(F.array_distinct("h")).alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCS).select("w")
+    words = np.sort(frequent.toArrow().column(0).to_numpy())
+
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            w, s = [], []
+            for h, sent in zip(b.column("h"), b.column("s"), strict=True):
+                h, sent = h.values.to_numpy(), sent.values.to_numpy()
+                at = np.searchsorted(words, h)
+                known = words[np.minimum(at, len(words) - 1)] == h if len(words) else np.zeros(len(h), bool)
+                w.append(at[known].astype(np.int32).tobytes())
+                s.append(sent[known].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("n"), pa.array(w, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "y", "n", "w", "s"])
+
+    got = rows.mapInArrow(number, "doc_id long, y int, n int, w binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending"), ("w", "ascending")])
+    pairs = [(words[np.frombuffer(w.as_buffer(), np.int32)].view(np.uint64), np.frombuffer(s.as_buffer(), np.int32)) for w, s in zip(got["w"], got["s"], strict=True)]
+    return NoisyOr(pairs, got["y"].to_numpy() == 1, got["n"].to_numpy())
 
 
 def score_batch(model: NoisyOr, text: pa.Array, threshold: float) -> tuple[np.ndarray, list[list[dict]]]:
