@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.matching import blocked_pairs, evaluate
 from ..plans.pipeline import process
@@ -52,7 +53,7 @@ def decide_batch(batch: DataFrame, archive_path: str, decisions_path: str, batch
     at = f"batch={batch_id}"
     path = spark._jvm.org.apache.hadoop.fs.Path(archive_path)
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    old = spark.read.option("basePath", archive_path).schema(batch.schema.add("batch", "int")).parquet(archive_path).where(F.col("batch") < batch_id).drop("batch") if there else batch.limit(0)
+    old = spark.read.option("basePath", archive_path).schema(StructType([*batch.schema.fields, StructField("batch", IntegerType())])).parquet(archive_path).where(F.col("batch") < batch_id).drop("batch") if there else batch.limit(0)
     told = evaluate(batch, old)
     inner = blocked_pairs(batch).groupBy(F.col("seq_old").alias("s")).agg(F.max_by(F.struct("seq_new", "reason", "completeness_new", "completeness_old"), "seq_new").alias("m"))
     told = told.join(inner, F.col("seq") == F.col("s"), "left")
