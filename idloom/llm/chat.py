@@ -12,8 +12,8 @@ A turn whose role is unknown (none of ROLES in lower case without blanks; NULL t
 equal cost the one is taken whose first differing step is earlier in the order keep, merge, relabel, insert. The repaired turns are
 rendered as <|role|> line, text, <|end|> line.
 
-Plan: one shuffle gathers a conversation's turns, in order; roles alone go to Python, where each sequence of roles is solved
-once for a batch; the rendering is done by Spark from the steps.
+Plan: one shuffle gathers a conversation's turns, in order; the program runs on roles alone, and a worker remembers some thousands of
+sequences of roles; the rendering is done by Spark from the steps, in time linear in the text.
 
 Defined cases: turns are ordered by turn, then role, then text, NULLs first; a turn that repeats a whole row is a turn;
 NULL texts are empty; rows without conv_id are one conversation; a conversation whose turns are all empty is
@@ -22,8 +22,10 @@ repaired like any other. A last user turn gets an empty answer inserted if that
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,20 +80,21 @@ def repair(roles: list[int]) -> tuple[int, list[Step]]:
     return best[0][START], steps
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _plan(roles: tuple[int, ...]) -> tuple[int, list[int], list[str], list[int]]:
+    """Cost; and of each step: kind, role, and the number of the text that it takes (from 1; 0 for an insertion)."""
+    cost, steps = repair(list(roles))
+    kinds = [k for k, _ in steps]
+    takes = np.cumsum([k != INSERT_STEP for k in kinds], dtype=int).tolist()
+    return cost, kinds, [ROLES[x] for _, x in steps], [0 if k == INSERT_STEP else n for k, n in zip(kinds, takes, strict=True)]
+
+
 def _solve(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, tuple] = {}
     for b in parts:
-        cost, kinds, names = [], [], []
-        for roles in b.column("roles").to_pylist():
-            key = tuple(roles)
-            if key not in known:
-                c, steps = repair(roles)
-                known[key] = c, [k for k, _ in steps], [ROLES[x] for _, x in steps]
-            c, k, r = known[key]
-            cost.append(c)
-            kinds.append(k)
-            names.append(r)
-        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("texts"), pa.array(cost, pa.int32()), pa.array(kinds, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["conv_id", "texts", "cost", "kinds", "names"])
+        plans = [_plan(tuple(roles)) for roles in b.column("roles").to_pylist()]
+        cost, kinds, names, takes = (list(c) for c in zip(*plans, strict=True)) if plans else ([],) * 4
+        ints = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("texts"), pa.array(cost, pa.int32()), pa.array(kinds, ints), pa.array(names, pa.list_(pa.string())), pa.array(takes, ints)], ["conv_id", "texts", "cost", "kinds", "names", "takes"])
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -101,20 +104,16 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     turns = conversations.select("conv_id", F.struct("turn", "role", "text", code.alias("code")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("ts"))
     kind = dict(conversations.dtypes)["conv_id"]
     ready = turns.select("conv_id", F.transform("ts", lambda t: t["code"]).alias("roles"), F.transform("ts", lambda t: F.coalesce(t["text"], F.lit(""))).alias("texts"))
-    solved = ready.mapInArrow(_solve, f"conv_id {kind}, texts array<string>, cost int, kinds array<int>, names array<string>")
-    # a step that isn't an insertion takes the next text: its number is the count of such steps before it
-    i = F.lit(INSERT_STEP)
-    steps = F.transform("kinds", lambda k, j: F.struct(k.alias("k"), F.element_at("names", (j + 1).cast("int")).alias("r")))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
-
-    def add(acc, s):  # noqa: ANN001, ANN202
-        text = F.when(s["k"] == i, F.lit("")).otherwise(F.element_at("texts", F.least(acc["used"] + 1, F.greatest(F.size("texts"), F.lit(1)))))
-        new = F.concat(F.when(acc["out"] == "", F.lit("")).otherwise(F.lit("\n<|end|>\n")), F.lit("<|"), s["r"], F.lit("|>\n"), text)
-        out = F.concat(acc["out"], F.when(s["k"] == MERGE_STEP, F.concat(F.lit("\n"), text)).otherwise(new))
-        return F.struct(out.alias("out"), (acc["used"] + F.when(s["k"] == i, 0).otherwise(1)).alias("used"))
+    solved = ready.mapInArrow(_solve, f"conv_id {kind}, texts array<string>, cost int, kinds array<int>, names array<string>, takes array<int>")
+
+    def piece(s, j):  # noqa: ANN001, ANN202
+        text = F.coalesce(F.get("texts", s["takes"] - 1), F.lit(""))
+        head = F.concat(F.when(j == 0, F.lit("<|")).otherwise(F.lit("\n<|end|>\n<|")), s["names"], F.lit("|>\n"))
+        return F.concat(F.when(s["kinds"] == MERGE_STEP, F.lit("\n")).otherwise(head), text)
 
     count = lambda step: F.size(F.filter("kinds", lambda k: k == step))
-    rendered = F.concat(F.aggregate(steps, zero, add)["out"], F.lit("\n<|end|>\n"))
+    pieces = F.transform(F.arrays_zip("kinds", "names", "takes"), piece)
+    rendered = F.concat(F.array_join(pieces, ""), F.lit("\n<|end|>\n"))
     return solved.select("conv_id", F.size("texts").alias("n_turns"), "cost", count(MERGE_STEP).alias("merged"), count(RELABEL_STEP).alias("relabelled"), count(INSERT_STEP).alias("inserted"), rendered.alias("rendered"))
 
 
