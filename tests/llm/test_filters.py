@@ -201,7 +201,7 @@ def test_scores_are_sums_of_tables():
 
 def test_features_by_hand():
     f = dict(zip(quality.FEATURES, quality.features(pa.array(["AB ab ab!\nx|y 12*", None, " "]))[0]))
-    assert f["word_bytes"] == pytest.approx(14 / 5) and f["upper"] == pytest.approx(2 / 8) and f["digits"] == pytest.approx(2 / 17)
+    assert f["word_bytes"] == pytest.approx(13 / 5) and f["upper"] == pytest.approx(2 / 8) and f["digits"] == pytest.approx(2 / 17)
     assert f["bangs"] == 1 / 5 and f["pipes"] == 1 / 5 and f["capital_words"] == 1 / 5 and f["line_words"] == 2.5 and f["distinct_words"] == 1.0 and f["marked_words"] == pytest.approx(2 / 5)
     assert np.isnan(quality.features(pa.array([None, " "]))).all()
 
