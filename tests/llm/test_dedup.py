@@ -143,6 +143,18 @@ def test_simhash_guarantee_of_blocks():
         assert (a[:, o * n : (o + 1) * n] == b[:, o * n : (o + 1) * n]).any(1).all()
 
 
+@pytest.mark.parametrize(("distance", "share"), [(32, 0.99), (36, 0.98), (38, 0.97), (40, 0.95)])
+def test_simhash_recall_by_distance(distance, share):
+    """Up to the bound, pairs of each distance share a block, not just the average pair."""
+    rng = np.random.default_rng(distance)
+    x = rng.random((4000, simhash.N_BITS)) < 0.5
+    y = x.copy()
+    for row in y:
+        row[rng.choice(simhash.N_BITS, distance, replace=False)] ^= True
+    assert distance <= simhash.MAX_DISTANCE
+    assert (simhash.block_values(x) == simhash.block_values(y)).any(1).mean() >= share
+
+
 def test_simhash_fingerprint_is_majority():
     text = "a b c d e f g h " * 3 + "i"
     data = np.frombuffer(text.encode(), np.uint8)
