@@ -29,11 +29,14 @@ from .common import materialize, table
 from .quality import labelled
 
 TRAIN_ROWS = 8_000
-MIN_DOCS = 6
+#: A word of one document tells it from no other; what of the rest is learned, the penalty decides.
+MIN_DOCS = 2
 NOISE = 0.04
 STEPS, RATE = 250, 0.15
 #: L1 penalty on a weight, in documents: a word that sets fewer apart than a few isn't learned.
 SPARSE = 1.0
+#: Steps without the penalty, and again as many until it is whole: from weights of zero no word of a few documents would outgrow it.
+WARM = 80
 THRESHOLD = 0.5
 
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
@@ -85,7 +88,7 @@ class NoisyOr:
             g = np.concatenate([np.bincount(word, slope[sent], len(vocabulary)), [slope.sum()]])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
             w += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-5)
-            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - RATE * SPARSE / len(docs) / (np.sqrt(v[:-1] / (1 - 0.999**t)) + 1e-5), 0)
+            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - RATE * SPARSE * min(1, max(0, t / WARM - 1)) / len(docs) / (np.sqrt(v[:-1] / (1 - 0.999**t)) + 1e-5), 0)
         used = np.abs(w[:-1]) > 0.05
         self.words, self.weights, self.bias = vocabulary[used], w[:-1][used], float(w[-1]) if used.any() else -50.0
 

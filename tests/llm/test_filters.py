@@ -242,6 +242,17 @@ def test_toxicity_finds_documents_and_sentences(spark, make):
             assert [text[s["start"] : s["end"]] for s in got[i]["sentences"]] == [text.split(". ")[where].rstrip(".")]
 
 
+def test_toxicity_small_labels(spark, make):
+    """Offensive words of four and five labelled documents are learned, and found in documents without a label."""
+    rng = random.Random(5)
+    plain = [f"{words(rng, 30)}. {words(rng, 2)}" for _ in range(90)]
+    rows = [(i, p + (" zorgle" if i < 5 else " blick" if i < 9 else "")) for i, p in enumerate(plain[:80])]
+    rows += [(100, plain[80] + " zorgle"), (101, plain[81] + " blick"), (102, plain[82])]
+    labels = spark.createDataFrame([(i, 1, int(i < 9)) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"] for r in toxicity.detect(make(rows), labels).where("toxic").collect()}
+    assert got == {*range(9), 100, 101}
+
+
 def test_toxicity_offsets_are_characters(spark):
     m = toxicity.NoisyOr([], np.zeros(0))
     text = "Zażółć gęślą. Jaźń émoron é! 🙂 ok"
