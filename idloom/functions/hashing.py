@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,14 +69,22 @@ def bits_to_hex(bits: Column) -> Column:
     return F.when(F.size(bits) == HASH_BITS, F.concat(half(1), half(33)))
 
 
-def bands(h: Column, most: int) -> Column:
-    """most + 1 pieces of a 64-bit hex hash, as (number, bits): hashes that differ in at most ``most`` bits share one whole.
+def as_bits(h: Column) -> Column:
+    """A hex hash of 16 digits as one number of 64 bits, with sign; NULL for other texts."""
+    return F.when(text(h).rlike("^[0-9a-fA-F]{16}$"), F.shiftleft(_chunk(h, 0), 32).bitwiseOR(_chunk(h, 1)))
+
+
+def bands(h: Column, most: int, whole: int = 1) -> Column:
+    """Keys of a 64-bit hex hash, as (number, bits): hashes that differ in at most ``most`` bits share one.
 
-    NULL for other texts, for which there is no distance to a 64-bit hash.
+    The hash is cut into most + whole bands, of which so few flips leave ``whole`` untouched; a key is each combination of that many
+    bands. More bands in a key make more keys, of which a random pair shares fewer. NULL for other texts, for which there is no
+    distance to a 64-bit hash.
     """
-    n = most + 1
-    hi, lo = _chunk(h, 0), _chunk(h, 1)
-    whole = F.shiftleft(hi, 32).bitwiseOR(lo)
+    n = most + whole
     edges = [round(i * HASH_BITS / n) for i in range(n + 1)]
-    out = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(whole, HASH_BITS - b).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return F.when(text(h).rlike("^[0-9a-fA-F]{16}$"), F.array(*out))
+    masks = [sum(1 << i for i in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+    keys = [sum(c) for c in combinations(masks, whole)]
+    signed = [m - (1 << HASH_BITS) if m >> (HASH_BITS - 1) else m for m in keys]
+    number = as_bits(h)
+    return F.when(number.isNotNull(), F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m, i: F.struct(i.alias("band"), number.bitwiseAND(m).alias("bits"))))

@@ -2,45 +2,34 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset, in local mode alone, a temporary folder is made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("idloom.scratch", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="idloom-")
-        spark.conf.set("idloom.scratch", root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-    return root.rstrip("/")
+from ..scratch import release, written
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again: its lineage ends there and it outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _least_neighbour(e: DataFrame) -> DataFrame:
+    """Adds m, the least v of u: a partial aggregate joined back, so that no task holds the whole neighbourhood of a hub."""
+    least = e.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
+    return e.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (smallest node of its component), from edges (a, b) of longs. Nodes without an edge to another don't appear."""
+    """node, root (smallest node of its component), from edges (a, b) of longs. Nodes without an edge to another don't appear.
+
+    Loops and repeated edges are allowed. Runs jobs while the plan is made: one for each round.
+    """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     before = None
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        up = both.withColumn("m", low).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = up.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        down = down.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v").distinct()
-        e = written(down, "components")
+        # every larger neighbour of u is linked to the least of u and its neighbours
+        both = _least_neighbour(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        up = both.withColumn("m", F.least("m", "u")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # u and its smaller neighbours are linked to the least of them
+        down = _least_neighbour(up).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v").distinct()
+        after = written(down, "components")
+        release(e)
+        e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

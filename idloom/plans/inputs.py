@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def spark_input(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    return spark.sql(sql, **{t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if f"{{{t}}}" in sql})
 
 
 def duck_input(sql: str) -> str:

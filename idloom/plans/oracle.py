@@ -93,7 +93,7 @@ _PLAIN = lambda x: rf"trim(regexp_replace(lower(regexp_replace(strip_accents(reg
 SQL["text_normalize"] = f"SELECT doc_id, {_PLAIN('text')} AS plain FROM documents"
 SQL["local_document_id"] = f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'DOC-FV-' || doc_id WHEN len(p) >= 24 THEN 'LOCAL-DOC-' || {_sha16("p")} ELSE 'LOCAL-DOC-' || {_sha16("text")} END AS id,
   CASE WHEN doc_id % 10 = 0 THEN 'pipeline' ELSE 'local-fallback' END AS provider, CASE WHEN doc_id % 10 = 0 THEN 'identity' WHEN len(p) >= 24 THEN 'ocr-text' ELSE 'file-sha256' END AS source
-  FROM (SELECT doc_id, text, {_PLAIN("CASE WHEN doc_id % 3 = 0 THEN left(text, 12) ELSE text END")} AS p FROM documents) d"""
+  FROM (SELECT doc_id, text, {_PLAIN("CASE WHEN doc_id % 3 = 0 THEN source ELSE text END")} AS p FROM documents) d"""
 _IDS = f"SELECT k, cs, CASE WHEN k % 5 = 0 THEN id || '0' WHEN k % 5 = 1 THEN 'no-id' WHEN k % 5 = 2 THEN replace(id, 'V', 'Q') ELSE id END AS claimed FROM (SELECT k, canonical_string AS cs, document_id AS id FROM ({SQL['invoice_id']}) y) z"
 _PARTS = "string_split(claimed, '-')"
 SQL["id_parse"] = f"SELECT k, CASE WHEN len(p) = 3 THEN p[1] END AS prefix, CASE WHEN len(p) = 3 THEN p[2] END AS type_code, CASE WHEN len(p) = 3 THEN p[3] END AS hash, CASE WHEN len(p) = 3 AND p[2] = 'FV' THEN 'INVOICE' END AS document_type FROM (SELECT k, {_PARTS} AS p FROM ({_IDS}) w) v"
@@ -202,7 +202,7 @@ _PRIOR = f"SELECT *, first_value(document_id) OVER (PARTITION BY canonical_strin
 SQL["prior_duplicates"] = f"SELECT seq, document_id, prior <> document_id AS is_duplicate, CASE WHEN prior <> document_id THEN prior END AS duplicate_of FROM ({_PRIOR}) q"
 SQL["batch_report"] = f"SELECT count(*) AS n_documents, count_if(prior <> document_id) AS n_duplicates, 1.0::DOUBLE AS mean_confidence, count(DISTINCT document_id) AS n_ids, count(DISTINCT document_id) = 1 AS all_same FROM ({_PRIOR}) q"
 SQL["type_counts"] = f"SELECT document_type, count(*) AS n FROM ({_PROCESSED}) p GROUP BY document_type"
-SQL["determinism"] = f"SELECT seq, 2 AS n_runs, 1 AS n_ids, true AS same FROM ({T}) t"
+SQL["determinism"] = f"SELECT seq, 5 AS n_runs, 1 AS n_ids, true AS same FROM ({T}) t"
 _PLAINLY = _PROCESSED.replace("coalesce(forced, CASE category", "(CASE category")
 SQL["verify_documents"] = f"SELECT seq, seq % 2 <> 0 AND document_id = 'DOC-DOC-' || {_sha16('sh')} AS verified FROM ({_PLAINLY}) p"
 SQL["extract_all"] = f"""SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY confidence DESC, o) - 1 AS rank, category, confidence, document_date, issuer_nip FROM (
@@ -221,7 +221,13 @@ _dist = lambda a, b: f"CAST(bit_count(xor(('0x' || {a})::UBIGINT, ('0x' || {b}):
 SQL["grid_hashes"] = f"SELECT seq, {_hex('b')} AS ahash, {_hex('d')} AS dhash FROM (SELECT seq, list_transform(e, lambda x: CASE WHEN x >= m THEN 1 ELSE 0 END) AS b, list_transform(range(1, 65), lambda i: CASE WHEN e[i] > e[CASE WHEN i % 8 = 0 THEN i - 7 ELSE i + 1 END] THEN 1 ELSE 0 END) AS d FROM (SELECT *, list_reduce(e, lambda a, x: a + x) / 64 AS m FROM ({_G}) g) g1) h"
 SQL["hamming"] = f"SELECT seq, d AS distance, 1 - d / 64.0::DOUBLE AS similarity, 999 AS far, d <= 40 AS same FROM (SELECT seq, {_dist('phash', 'dhash')} AS d FROM ({_HASHES}) h) x"
 _PAIRS = f"SELECT a.seq, b.seq AS match_seq, {_dist('a.dhash', 'b.dhash')} AS d, {_dist('a.phash', 'b.phash')} AS p FROM ({_HASHES}) a, ({_HASHES}) b"
-SQL["visual_rank"] = f"SELECT *, row_number() OVER (ORDER BY distance, match_seq) AS place FROM (SELECT seq, match_seq, least(d, p) AS distance, greatest(d, p) <= 12 AS same, greatest(0.0::DOUBLE, 1 - least(d, p) / 64.0::DOUBLE) * 100 AS similarity FROM ({_PAIRS} WHERE a.seq = 1) q) w"
+SQL["visual_rank"] = f"SELECT *, row_number() OVER (PARTITION BY seq ORDER BY distance, match_seq) AS place FROM (SELECT seq, match_seq, least(d, p) AS distance, greatest(d, p) <= 12 AS same, greatest(0.0::DOUBLE, 1 - least(d, p) / 64.0::DOUBLE) * 100 AS similarity FROM ({_PAIRS} WHERE a.seq % 100 = 0) q) w"
+#: The low cosine products of an 8 x 8 grid: sums over its rows, then over its columns; bits above the median of all but the first.
+_COS = "SELECT k, n, cos(pi() * (2 * k + 1) * n / 16) AS w FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(8)) AS n)"
+_CELLS = f"SELECT seq, CAST(floor(i / 8) AS BIGINT) AS y, i % 8 AS x, e[i + 1] AS v FROM (SELECT seq, e, unnest(range(64)) AS i FROM ({_G}) g)"
+_ROWS = f"SELECT seq, y, k AS kx, sum(v * w) AS v FROM ({_CELLS}) c JOIN ({_COS}) b ON b.n = c.x GROUP BY ALL"
+_DCT = f"SELECT seq, k * 8 + kx AS i, sum(v * w) AS v FROM ({_ROWS}) r JOIN ({_COS}) b ON b.n = r.y GROUP BY ALL"
+SQL["grid_phash"] = f"SELECT seq, {_hex('b')} AS phash FROM (SELECT seq, list(CASE WHEN v > m THEN 1 ELSE 0 END ORDER BY i) AS b FROM (SELECT *, median(v) FILTER (WHERE i > 0) OVER (PARTITION BY seq) AS m FROM ({_DCT}) d) e GROUP BY seq) f"
 
 # archive records
 

@@ -12,7 +12,7 @@ from ..functions import normalize as N
 from ..functions.hashing import content_hash
 from ..operators import ids
 from ..operators.classify import FIELDS, TYPE_OF, extract, with_entities
-from ..operators.components import written
+from ..scratch import written
 
 
 def _type_of(force_type: str | None) -> Column:
@@ -61,7 +61,7 @@ def prior_duplicates(df: DataFrame, order: str = "seq") -> DataFrame:
 
     Canonical strings of one ID alone, nearly all, leave the plan before the join, so that what is joined is small; it has no
     window, which one hot canonical string would keep in a single task. The rows are used twice and their extraction costs most, so they
-    are written to the shared folder once.
+    are written to the shared folder once, while the plan is made.
     """
     df = written(df, "processed")
     first = df.groupBy(F.col("canonical_string").alias("_canonical")).agg(F.min_by("document_id", order).alias("_first"), (F.min("document_id") != F.max("document_id")).alias("_several"))

@@ -11,7 +11,7 @@ from ..functions import entities as E
 from ..functions import hashing as H
 from ..functions import normalize as N
 from ..operators import classify, compare, fusion, ids, matching, nearest, reconcile, reports
-from ..sources import images, ocr
+from ..sources import files, images, ocr
 from . import inputs, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return files.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def business(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +81,7 @@ def generic_id(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def local_document_id(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").withColumn("r", ids.local_fallback(F.when(c("doc_id") % 10 == 0, F.concat(F.lit("DOC-FV-"), c("doc_id"))), F.when(c("doc_id") % 3 == 0, F.left("text", F.lit(12))).otherwise(c("text")), c("text")))
+    d = table(spark, sf, "documents").withColumn("r", ids.local_fallback(F.when(c("doc_id") % 10 == 0, F.concat(F.lit("DOC-FV-"), c("doc_id"))), F.when(c("doc_id") % 3 == 0, c("source")).otherwise(c("text")), c("text")))
     return d.select("doc_id", "r.id", "r.provider", "r.source")
 
 
@@ -194,7 +194,7 @@ def batch_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def determinism(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.determinism(texts(spark, sf), 2)
+    return pipeline.determinism(texts(spark, sf))
 
 
 @query
@@ -225,15 +225,12 @@ def _hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def grid_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    g = _grids(spark, sf).withColumn("mean", F.aggregate("e", F.lit(0.0), lambda a, x: a + x) / 64)
-    right = lambda i: F.get("e", F.when(i % 8 == 7, i - 7).otherwise(i + 1))
-    bit = lambda x: F.when(x, 1).otherwise(0)
-    return g.select("seq", H.bits_to_hex(F.transform("e", lambda x: bit(x >= c("mean")))).alias("ahash"), H.bits_to_hex(F.transform("e", lambda x, i: bit(x > right(i)))).alias("dhash"))
+    return images.grid_hashes(_grids(spark, sf), "seq", "e").select("seq", "ahash", "dhash")
 
 
 @query
 def grid_phash(spark: SparkSession, sf: str) -> DataFrame:
-    return images.grid_hashes(_grids(spark, sf), "seq", "e")
+    return images.grid_hashes(_grids(spark, sf), "seq", "e").select("seq", "phash")
 
 
 @query
@@ -251,7 +248,7 @@ def best_match(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def visual_rank(spark: SparkSession, sf: str) -> DataFrame:
     h = _hashes(spark, sf)
-    return nearest.rank_against(h.where("seq = 1"), h, 12)
+    return nearest.rank_against(h.where("seq % 100 = 0"), h, 12)
 
 
 # archive records
@@ -320,19 +317,15 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def universal_id(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.files import file_ids
-
-    f = file_ids(_files(spark, sf)).withColumn("p", compare.parse_file_identity(c("document_id")))
+    f = files.file_ids(_files(spark, sf)).withColumn("p", compare.parse_file_identity(c("document_id")))
     return f.select("key", "document_id", "p.type_code", "content_hash")
 
 
 @query
 def compare_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.files import generic_features
-
     d = table(spark, sf, "documents")
     pairs = d.groupBy(c("text").alias("t")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).select("a", "b").unionByName(d.select(c("doc_id").alias("a"), (c("doc_id") + 1).alias("b")))
-    return compare.compare_files(pairs, generic_features(_files(spark, sf)))
+    return compare.compare_files(pairs, files.generic_features(_files(spark, sf)))
 
 
 @query

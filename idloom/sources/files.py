@@ -14,6 +14,19 @@ BATCH = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".bmp")
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, where its files give fewer partitions than there are cores; else, and for streams, as it is.
+
+    A small table is often one row group, which one task reads; what follows, bound by regular expressions, would stay in it. Spark moves the
+    columns that are used alone, before they are worked on. Takes a scan with filters and projections at most: counting the partitions of
+    such a plan runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * 2)
+
+
 def suffix(path: Column) -> Column:
     """Lower-case suffix with its point; '' where a name has none."""
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))

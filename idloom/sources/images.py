@@ -173,18 +173,20 @@ def preprocess(pixels: np.ndarray) -> np.ndarray:
 
 
 def grid_hashes(df: DataFrame, key: str, grid: str, side: int = 8) -> DataFrame:
-    """key, phash: of square grids of doubles that are as they are, without stretching; a NULL or odd-sized grid gives NULL."""
+    """key, ahash, dhash, phash: of square grids of doubles that are as they are, without stretching; a NULL or odd-sized grid gives NULLs.
+
+    The column right of the last, which differences of rows need, is the first one.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = np.arange(side)
-        basis = np.cos(np.pi * np.outer(2 * k + 1, k) / (2 * side))
         for pdf in parts:
-            ok = [x is not None and len(x) == side * side for x in pdf[grid]]
-            out = np.full(len(pdf), None, object)
-            if any(ok):
-                g = np.stack([np.asarray(x, float) for x, o in zip(pdf[grid], ok, strict=True) if o]).reshape(-1, side, side)
-                low = (basis @ g @ basis.T)[:, :8, :8].reshape(len(g), -1)
-                out[np.flatnonzero(ok)] = [hex_of(r > np.median(r[1:])) for r in low]
-            yield pd.DataFrame({key: pdf[key], "phash": out})
-
-    return df.select(key, grid).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, phash string")
+            rows = []
+            for x in pdf[grid]:
+                ok = x is not None and len(x) == side * side
+                g = np.asarray(x, float).reshape(side, side) if ok else None
+                rows.append((ahash(g), dhash(np.c_[g, g[:, :1]]), phash(g, side)) if ok else (None,) * 3)
+            out = pd.DataFrame(rows, columns=["ahash", "dhash", "phash"])
+            out.insert(0, key, pdf[key].to_numpy())
+            yield out
+
+    return df.select(key, grid).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, ahash string, dhash string, phash string")

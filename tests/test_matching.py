@@ -128,3 +128,32 @@ def test_nearest_against_all(spark):
     assert {r["seq"]: (r["distance"], r["match_seq"]) for r in nearest.best_match(A, B).collect()} == want and len(want) > 10
     ranked = nearest.rank_against(A.where("seq = 0"), B).orderBy("place").collect()
     assert len(ranked) == 90 and [r["distance"] for r in ranked] == sorted(r["distance"] for r in ranked)
+
+
+def test_candidates_grow_in_proportion(spark):
+    """Records without a common field and with random hashes: what the keys bring together is next to nothing, at ten times the rows too."""
+
+    def tested(n):
+        rng = random.Random(n)
+        rows = [record(i, f"D{i}", {"number": str(i), "card": str(i % 500)}, f"{rng.getrandbits(64):016x}", f"{rng.getrandbits(64):016x}") for i in range(n)]
+        k = matching.signatures(spark.createDataFrame(rows, SCHEMA)).select("seq", F.inline(matching.block_keys(F.col("sig"))))
+        return k.groupBy("test", "key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+
+    few, many = tested(1500), tested(15_000)
+    assert many < 0.5 * 15_000 * 15_000 / 2 / 100 and few < 1500 * 4 and many < 15_000 * 20
+
+
+def test_band_combinations(spark):
+    """Any hash at most ``most`` bits away shares a key of several bands."""
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(300):
+        a = b = rng.getrandbits(64)
+        for bit in rng.sample(range(64), 6):
+            b ^= 1 << bit
+        pairs.append((f"{a:016x}", f"{b:016x}"))
+    from idloom.functions import hashing as H
+
+    df = spark.createDataFrame(pairs, "a string, b string")
+    shared = df.select(F.size(H.bands(F.col("a"), 6, 3)).alias("keys"), F.size(F.array_intersect(H.bands(F.col("a"), 6, 3), H.bands(F.col("b"), 6, 3))).alias("n")).collect()
+    assert all(r["keys"] == 84 and r["n"] > 0 for r in shared)
