@@ -1,15 +1,15 @@
-"""What the operators share: scratch tables, row selection, connected components, table access."""
+"""What the operators share: row selection, prefix sums, table access; scratch tables and components are the library's."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components as connected_components
+from ..scratch import clear, mark, new_path, written
+
+__all__ = ["clear", "collapse_repeats", "connected_components", "drop_documents", "fresh", "mark", "new_path", "prefix_base", "table", "text_key", "written"]
+
 #: Buckets of a two-level ranking: rows of one hot key are ranked in this many independent windows.
 RANK_BUCKETS = 4096
 
@@ -18,46 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.split("[")[0] == "local"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a temporary folder is made and set, in local mode alone.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="idloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and it outlives executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that the table doesn't have yet, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -97,35 +57,3 @@ def prefix_base(counts: DataFrame, by: list[str], order: str, value: str, out: s
     """Sum of ``value`` over the rows before this one in its group; ``counts`` is small (groups x RANK_BUCKETS rows at most)."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0).cast("long")))
-
-
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """Smallest member of each node's component, from edges (a, b) of longs: columns node, root.
-
-    Alternating large-star and small-star rounds; each is written to the shared folder, and they end when
-    a round changes nothing. Nodes without an edge don't appear; loops and repeated edges are allowed.
-    """
-    e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, name)
-    last = None
-    for _ in range(max_rounds):
-        # large star: every larger neighbour of u is linked to the smallest member of u's neighbourhood
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        big = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small star: u and its smaller neighbours are linked to the smallest of them
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = big.withColumn("m", m)
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u != v").distinct()
-        nxt = materialize(small, name)
-        state = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        release(e)
-        e = nxt
-        if last == (state["n"], state["h"]):
-            break
-        last = (state["n"], state["h"])
-    else:
-        raise RuntimeError("components didn't settle")
-    roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    tops = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return roots.unionByName(tops)

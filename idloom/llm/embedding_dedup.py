@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table
+from .common import connected_components, written, table
 
 THRESHOLD = 0.9
 TREES = 8
@@ -154,10 +154,10 @@ def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD, trees: int
     dim = -sizes[0][1] if sizes else 1
     rows = rows.where(F.size("v") == dim).select("vec_id", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
     # equal vectors are one node, named by the smallest id
-    rows = materialize(rows.withColumn("node", F.min("vec_id").over(Window.partitionBy("v"))), "op3-rows")
+    rows = written(rows.withColumn("node", F.min("vec_id").over(Window.partitionBy("v"))), "op3-rows")
     nodes = rows.where("vec_id = node").dropDuplicates(["node", "v"])
     edges = near_pairs(nodes, dim, threshold, trees, leaf, cell_rows).unionByName(rows.where("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b")))
-    roots = connected_components(edges, "op3-edges")
+    roots = connected_components(edges)
     out = all_ids.join(roots, F.col("vec_id") == F.col("node"), "left").withColumn("group_id", F.coalesce("root", "vec_id"))
     size = F.when(F.col("vec_id").isNull(), F.lit(1).cast("long")).otherwise(F.count("*").over(Window.partitionBy("group_id")))
     return out.select("vec_id", "group_id", size.alias("group_size"), F.col("vec_id").eqNullSafe(F.col("group_id")).alias("keep"))

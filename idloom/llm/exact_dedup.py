@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import collapse_repeats, drop_documents, materialize, table, text_key
+from .common import collapse_repeats, drop_documents, written, table, text_key
 
 BLOCK_BYTES = 1024
 #: Buckets that are sorted by themselves; a name is bucket * 2**40 + rank in the bucket.
@@ -40,7 +40,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     blocks = blocks.select("doc_id", "tkey", "s.idx", "s.block")
     gather = F.transform(F.array_sort(F.collect_set(F.struct("idx", "name"))), lambda s: s["name"]).alias("names")
     cur = _named(blocks, ["block"]).groupBy("doc_id", "tkey").agg(F.count_if(F.col("idx") == 0).alias("n_rows"), gather)
-    cur = materialize(cur, "op1-level0")
+    cur = written(cur, "op1-level0")
     longest = cur.agg(F.max(F.size("names"))).first()[0] or 1
     done, level = [cur.where(F.size("names") == 1).withColumn("level", F.lit(0))], 0
     while longest > 1:
@@ -50,7 +50,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("names") - 1) / 2).cast("int")), lambda i: F.struct(i.alias("idx"), at(2 * i).alias("a"), at(2 * i + 1).alias("b")))
         open_ = cur.where(F.size("names") > 1).select("doc_id", "tkey", "n_rows", F.explode(pairs).alias("s")).select("doc_id", "tkey", "n_rows", "s.idx", "s.a", "s.b")
         nxt = _named(open_, ["a", "b"]).groupBy("doc_id", "tkey").agg(F.first("n_rows").alias("n_rows"), gather)
-        cur = materialize(nxt, f"op1-level{level}")
+        cur = written(nxt, f"op1-level{level}")
         done.append(cur.where(F.size("names") == 1).withColumn("level", F.lit(level)))
     out = done[0]
     for d in done[1:]:
@@ -79,7 +79,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those whose text an earlier doc_id has; repeated rows become one."""
-    g = materialize(groups(docs), "op1-groups")
+    g = written(groups(docs), "op1-groups")
     repeats = bool(g.agg(F.max("n_rows") > 1).first()[0])
     return collapse_repeats(drop_documents(docs, g.where(~F.col("keep"))), repeats)
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import collapse_repeats, fresh, materialize, table, text_key
+from .common import collapse_repeats, fresh, written, table, text_key
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 GOOD, BAD, UNLABELLED = 1.0, 0.25, 0.5
@@ -41,7 +41,7 @@ def plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(1 << 48))
     rows = rows.withColumn("key", -F.log(u) / weight).drop("q")
     rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
-    rows = materialize(rows, "op8-rows")
+    rows = written(rows, "op8-rows")
 
     sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     base = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +76,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget_ratio: float = 1.0) -> DataFrame:
     """The rows of docs, each as often as the plan says; the columns of docs."""
-    p = materialize(plan(docs, labels, targets, budget_ratio), "op8-plan")
+    p = written(plan(docs, labels, targets, budget_ratio), "op8-plan")
     docs = collapse_repeats(docs, bool(p.agg(F.max("n_rows") > 1).first()[0]))
     k, d, r, n, i = (fresh(docs, x) for x in ("_mix_key", "_mix_id", "_mix_rkey", "_mix_n", "_mix_i"))
     right = p.where("copies > 0").select(F.col("doc_id").alias(d), F.col("tkey").alias(r), F.col("copies").cast("int").alias(n))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import written, table
 from .mixing import n_tokens
 
 CAPACITY = 2048
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))
     pieces = sized.where("n > 0").select("doc_id", "n", F.explode(cut).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece").cast("long") * capacity).cast("int").alias("n_tokens"))
-    pieces = materialize(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")), "op2-pieces")
+    pieces = written(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")), "op2-pieces")
     counts = pieces.groupBy("n_tokens", "bucket").agg(F.count("*").alias("c"))
     before = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0).cast("long")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import materialize, table
+from .common import written, table
 
 MIN_WORDS = 50
 WINDOW, GRAM = 24, 8
@@ -284,7 +284,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("h")
     found = found.withColumn("lo", F.min("doc_id").over(w)).withColumn("hi", F.max("doc_id").over(w)).where("lo < hi")
     picked = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    chosen = materialize(src.join(picked, "doc_id"), "op5-chosen")
+    chosen = written(src.join(picked, "doc_id"), "op5-chosen")
     total = chosen.agg(F.sum(F.size("words"))).first()[0] or 0
     n_ranges = max(1, -(-total // RANGE_ANCHORS))
     every = max(1, total // (n_ranges * SAMPLES_A_RANGE))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import new_path, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,4 +128,4 @@ class TokenCorpus:
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the tokens of all documents into the shared folder; a row for each document tells where."""
-    return write(table(spark, sf_dir, "documents"), scratch_path(spark, "op10-tokens"))
+    return write(table(spark, sf_dir, "documents"), new_path(spark, "op10-tokens"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import materialize, table
+from .common import written, table
 from .quality import labelled
 
 TRAIN_ROWS = 8_000
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> NoisyOr
                 yield pa.RecordBatch.from_arrays([ids.slice(row, size), y.slice(row, size), pa.array(n), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(own))], ["doc_id", "y", "n", "h", "s"])
 
     rows = labelled(docs, labels, "toxic", most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("y").cast("int").alias("y"))
-    rows = materialize(rows.mapInArrow(scan, "doc_id long, y int, n int, h array<long>, s array<int>"), "op9-training")
+    rows = written(rows.mapInArrow(scan, "doc_id long, y int, n int, h array<long>, s array<int>"), "op9-training")
     frequent = rows.select(F.explode(F.array_distinct("h")).alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCS).select("w")
     words = np.sort(frequent.toArrow().column(0).to_numpy())
 
