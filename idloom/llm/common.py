@@ -45,12 +45,12 @@ def drop_documents(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return out.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(k + "_r")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def collapse_repeats(docs: DataFrame, has_repeats: bool) -> DataFrame:
-    """One row for each (doc_id, text). Where no such row repeats, which the caller knows, there is nothing to do."""
+def collapse_repeats(docs: DataFrame, has_repeats: bool, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """One row for each (doc_id, text) and value of ``by``. Where no such row repeats, which the caller knows, there is nothing to do."""
     if not has_repeats:
         return docs
     k = fresh(docs, "_repeat_key")
-    return docs.withColumn(k, text_key(F.col("text"))).dropDuplicates(["doc_id", k]).drop(k)
+    return docs.withColumn(k, text_key(F.col("text"))).dropDuplicates(["doc_id", *by, k]).drop(k)
 
 
 def prefix_base(counts: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:

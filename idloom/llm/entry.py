@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_output": token_output.op10_token_output,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op5_suffix_dedup": suffix_dedup.SQL, "op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op5_suffix_dedup": suffix_dedup.SQL}

@@ -2,16 +2,18 @@
 
 Each source gets a token budget: the corpus's tokens, shared out by the sources' target weights. A source smaller than
 its budget is repeated in complete epochs; what is left of the budget is drawn without replacement, with probability
-by quality weight: documents are sorted by key -ln(u) / weight, and taken while the running sum of tokens fits.
-u comes from md5 of doc_id and seed, so that the draw is the same on every run and in any other engine.
+by quality weight: documents are sorted by key -ln(u) / weight, and taken while the running sum of tokens fits. A token is an ID of the
+tokenizer that operator 10 writes with. The weight is a document's quality score where one is given (the pipeline gives operator 4's), else
+what its label says. u comes from md5 of doc_id and seed, so that the draw is the same on every run and in any other engine.
 
 Plan: texts are read once for their token counts; what is shuffled has no text. The running sum is taken in two levels, in
 buckets of a source's keys and over the buckets' sums, so that one hot source is spread over many tasks.
 
-Defined cases: a token is a run of letters and digits, or one other visible character; a NULL text has 0; rows equal in
-doc_id and text are one document; NULL sources are one source of their own; a document without a label, or with a NULL
-one, has weight UNLABELLED; several labels of one doc_id count by their largest. A document of 0 tokens fits whenever
-any budget is left. An empty table gives an empty result.
+Defined cases: a NULL text has 0 tokens; rows equal in doc_id, text and source are one document, and a text of several sources is drawn in
+each; NULL sources are one source of their own; a document without a label, or with a NULL one, has weight UNLABELLED; several labels of one
+doc_id count by their largest; scores under LEAST count as that. A document of 0 tokens fits whenever any budget is left. Equal keys go by
+doc_id and text. Texts of any length are counted whole; doc_id may be of any type; other columns are kept, whatever their names. An empty table
+gives an empty result. Jobs run while the plan is made.
 """
 
 from __future__ import annotations
@@ -19,27 +21,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import collapse_repeats, fresh, written, table, text_key
+from .common import clear, collapse_repeats, fresh, mark, table, text_key, written
+from .quality import score_column, train
+from .token_output import n_tokens, ranks_path
 
-TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 GOOD, BAD, UNLABELLED = 1.0, 0.25, 0.5
+LEAST = 0.01
 SEED = "mix-1"
 BUCKETS = 4096
 
 
-def n_tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+def plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget_ratio: float = 1.0, seed: str = SEED, score: Column | None = None) -> DataFrame:
+    """doc_id, tkey, source, n_tokens, copies for each document.
 
-
-def plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget_ratio: float = 1.0, seed: str = SEED) -> DataFrame:
-    """doc_id, tkey, source, n_tokens, copies for each document. ``targets``: weight by source, all equal where None; a source it lacks gets 0."""
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "source", n_tokens(F.col("text")).alias("n_tokens"))
-    rows = rows.groupBy("doc_id", "tkey").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
-    quality = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").alias("q"))
-    rows = rows.join(quality, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
-    weight = F.when(F.col("q") == 1, GOOD).when(F.col("q") == 0, BAD).otherwise(UNLABELLED)
+    ``targets``: weight by source, all equal where None; a source it lacks gets 0. ``score``: weight of a row of docs, in place of labels.
+    """
+    count = n_tokens(ranks_path(docs.sparkSession))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "source", count(F.col("text")).alias("n_tokens"), (F.lit(None).cast("double") if score is None else score).alias("score"))
+    rows = rows.groupBy("doc_id", "tkey", "source").agg(F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"), F.count("*").alias("n_rows"))
+    if score is None:
+        quality = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").alias("q"))
+        rows = rows.join(quality, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
+        weight = F.when(F.col("q") == 1, GOOD).when(F.col("q") == 0, BAD).otherwise(UNLABELLED)
+    else:
+        weight = F.greatest(F.coalesce("score", F.lit(LEAST)), F.lit(LEAST))
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(1 << 48))
-    rows = rows.withColumn("key", -F.log(u) / weight).drop("q")
+    rows = rows.withColumn("key", -F.log(u) / weight).drop("q", "score")
     rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
     rows = written(rows, "op8-rows")
 
@@ -74,32 +81,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "source", "n_tokens", "copies")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget_ratio: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget_ratio: float = 1.0, score: Column | None = None) -> DataFrame:
     """The rows of docs, each as often as the plan says; the columns of docs."""
-    p = written(plan(docs, labels, targets, budget_ratio), "op8-plan")
-    docs = collapse_repeats(docs, bool(p.agg(F.max("n_rows") > 1).first()[0]))
-    k, d, r, n, i = (fresh(docs, x) for x in ("_mix_key", "_mix_id", "_mix_rkey", "_mix_n", "_mix_i"))
-    right = p.where("copies > 0").select(F.col("doc_id").alias(d), F.col("tkey").alias(r), F.col("copies").cast("int").alias(n))
-    out = docs.withColumn(k, text_key(F.col("text"))).join(right.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(r)))
+    start = mark()
+    p = written(plan(docs, labels, targets, budget_ratio, score=score), "op8-plan")
+    clear(docs.sparkSession, start, p)
+    docs = collapse_repeats(docs, bool(p.agg(F.max("n_rows") > 1).first()[0]), ["source"])
+    k, d, r, o, n, i = (fresh(docs, x) for x in ("_mix_key", "_mix_id", "_mix_rkey", "_mix_source", "_mix_n", "_mix_i"))
+    right = p.where("copies > 0").select(F.col("doc_id").alias(d), F.col("tkey").alias(r), F.col("source").alias(o), F.col("copies").cast("int").alias(n))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(r)) & F.col("source").eqNullSafe(F.col(o))
+    out = docs.withColumn(k, text_key(F.col("text"))).join(right.hint("shuffle_hash"), same)
     return out.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, table(spark, sf_dir, "labels"))
-
-
-SQL = r"""
-WITH q AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-r AS (
-  SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS BIGINT) AS n_tokens,
-         -ln((CAST('0x' || substr(md5(concat(CAST(d.doc_id AS VARCHAR), '|mix-1')), 1, 12) AS BIGINT) + 1) / 281474976710656.0::DOUBLE)
-           / CASE q.q WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS k
-  FROM (SELECT DISTINCT doc_id, text, source FROM documents) d LEFT JOIN q ON q.doc_id = d.doc_id),
-s AS (SELECT source, sum(n_tokens) AS total FROM r GROUP BY source),
-b AS (SELECT source, total, CAST(floor((SELECT sum(total) FROM s)::DOUBLE / (SELECT count(*) FROM s)) AS BIGINT) AS budget FROM s),
-e AS (SELECT source, CASE WHEN total > 0 THEN CAST(budget // total AS BIGINT) ELSE 0 END AS epochs, total, budget FROM b),
-c AS (SELECT r.*, e.epochs, e.budget - e.epochs * e.total AS rest,
-             sum(n_tokens) OVER (PARTITION BY r.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS run
-      FROM r JOIN e ON e.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, source, n_tokens, CAST(epochs + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM c
-"""
+    """Documents mixed to equal token budgets of their sources, drawn by the quality classifier's scores.
+
+    The stages before leave no column for the score, so that the model is trained again, on documents that they kept, and applied.
+    """
+    labels = table(spark, sf_dir, "labels")
+    return mix(docs, labels, score=score_column(train(docs, labels))(F.col("text")))

@@ -9,26 +9,28 @@ Shards are named by partition and attempt. What a lost or doubled attempt leaves
 from the committed table of documents (``docs/`` in the same folder). Nothing is shuffled but that table.
 
 Defined cases: a NULL text has no token, like an empty one, and keeps its place; each row is written, also one that
-repeats another; strings of special tokens in a text are ordinary text. An empty table gives an empty result and a manifest
-without shards.
+repeats another; strings of special tokens in a text are ordinary text; a text of any length is encoded whole. Only doc_id, of any type, and
+text are read; columns of any other name are left alone. An empty table gives an empty result and a manifest without shards. The files are
+written while the plan is made.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, table
 
+#: Where the ranks of the vocabulary are, on every executor, unless the session's ``spark.idloom.tokenizer`` names another file.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
@@ -45,6 +47,26 @@ def encoding(ranks: str = RANKS, pattern: str = PATTERN) -> tiktoken.Encoding:
     return _encodings[ranks]
 
 
+def ranks_path(spark: SparkSession) -> str:
+    return spark.conf.get("spark.idloom.tokenizer", RANKS)
+
+
+def encode(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
+    """The IDs of a text; none of NULL. Strings of special tokens are ordinary text."""
+    return enc.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+
+
+def n_tokens(ranks: str = RANKS) -> Callable[[Column], Column]:
+    """A function of a text column: how many IDs the tokenizer makes of each text, 0 for NULL."""
+
+    @F.arrow_udf("long")
+    def count(text: pa.Array) -> pa.Array:
+        enc = encoding(ranks)
+        return pa.array([len(encode(enc, t.as_py())) for t in text], pa.int64())
+
+    return count
+
+
 def id_type(end: int) -> np.dtype:
     return np.dtype("<u2" if end < 1 << 16 else "<u4")
 
@@ -53,9 +75,10 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if ":/" in uri else "file://" + uri)
 
 
-def write(docs: DataFrame, out: str, ranks: str = RANKS, end: int = END) -> DataFrame:
+def write(docs: DataFrame, out: str, ranks: str | None = None, end: int = END) -> DataFrame:
     """Writes the shards below ``out``, a folder all executors share: doc_id, shard, token_offset (in the corpus), n_tokens."""
     spark, dtype = docs.sparkSession, id_type(end)
+    ranks = ranks or ranks_path(spark)
 
     def shard(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -68,8 +91,7 @@ def write(docs: DataFrame, out: str, ranks: str = RANKS, end: int = END) -> Data
             offsets = []
             stream = stream or fs.open_output_stream(f"{root}/{name}.bin")
             for text in b.column("text"):
-                t = text.as_py()
-                ids = enc.encode_to_numpy(t, disallowed_special=()) if t else np.zeros(0, np.uint32)
+                ids = encode(enc, text.as_py())
                 stream.write(ids.astype(dtype).tobytes())
                 stream.write(np.array([end], dtype).tobytes())
                 offsets.append(at)

@@ -9,6 +9,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from idloom.llm import chat, mixing, packing, quality, token_output, toxicity
 
@@ -53,35 +54,45 @@ def test_windows_repeat_what_filling_would_do():
     assert Counter(bulk) == Counter(plain)
 
 
+def _encode(text):
+    return token_output.encode(token_output.encoding(), text).tolist()
+
+
 def test_pack_places_every_token_once(make):
+    """Each window's IDs are those of its pieces, in order; every ID of every row is in one window; the windows are those of filling one by one."""
     rng = random.Random(3)
-    rows = [(i, words(rng, rng.randint(0, 90))) for i in range(300)] + [(7, words(rng, 333)), (7, "a b c"), (7, "a b c"), (None, "d e"), (400, None)]
-    df = make(rows)
-    got = packing.pack(df, 50).collect()
-    by = defaultdict(list)
+    rows = [(i, words(rng, rng.randint(0, 30))) for i in range(300)] + [(7, words(rng, 333)), (7, "a b c"), (7, "a b c"), (None, "d e"), (400, None)]
+    got = packing.pack(make(rows), 50).collect()
+    have, sizes = Counter(), Counter()
     for r in got:
-        by[r["window_id"]].append((r["window_offset"], r["n_tokens"]))
-    for spans in by.values():
-        at = 0
-        for o, n in sorted(spans):
-            assert o == at
-            at += n
-        assert at <= 50
-    assert sorted(by) == list(range(len(by)))
-    sizes = Counter()
-    for i, t in rows:
-        n = len((t or "").split())
-        sizes.update((i, k, min(50, n - 50 * k)) for k in range(-(-n // 50)))
-    assert Counter((r["doc_id"], r["piece"], r["n_tokens"]) for r in got) == sizes
-    total = sum(n for _, _, n in sizes.elements())
-    assert len(by) <= 1.05 * total / 50 + 1
-
-
-def test_pack_odd_rows(odd, empty, clashing):
+        ids = np.frombuffer(r["ids"], "<u2").tolist()
+        assert len(ids) == r["n_tokens"] <= 50 and r["starts"][0] == 0
+        for d, p, a, z in zip(r["doc_ids"], r["pieces"], r["starts"], [*r["starts"][1:], len(ids)]):
+            have[d, p, tuple(ids[a:z])] += 1
+            sizes[z - a] += 1
+    want = Counter()
+    for d, t in rows:
+        ids = _encode(t)
+        ids += [token_output.END] if ids else []
+        want.update((d, k // 50, tuple(ids[k : k + 50])) for k in range(0, len(ids), 50))
+    assert have == want and sorted(r["window_id"] for r in got) == list(range(len(got)))
+    left, filled = dict(Counter(len(ids) for _, _, ids in want.elements())), []
+    while any(left.values()):
+        took = packing.fill(left, 50)
+        for x, n in took.items():
+            left[x] -= n
+        filled.append(tuple(sorted(Counter(took).elements())))
+    assert Counter(filled) == Counter(tuple(sorted(z - a for a, z in zip(r["starts"], [*r["starts"][1:], r["n_tokens"]]))) for r in got)
+
+
+def test_pack_odd_rows(spark, odd, empty, clashing):
     got = packing.pack(odd).collect()
-    assert {r["doc_id"] for r in got} == {1, 2, 7, 8, 9, None, 10, 11, 12, 13}
-    assert sum(r["n_tokens"] for r in got if r["doc_id"] == 7) == 120_000
-    assert packing.pack(empty).count() == 0 and packing.pack(clashing).count() == 20
+    assert {d for r in got for d in r["doc_ids"]} == {1, 2, 6, 7, 8, 9, None, 10, 11, 12, 13}
+    long = next(r["text"] for r in odd.collect() if r["doc_id"] == 7)
+    pieces = sorted((p, r["ids"][2 * a : 2 * z]) for r in got for d, p, a, z in zip(r["doc_ids"], r["pieces"], r["starts"], [*r["starts"][1:], r["n_tokens"]]) if d == 7)
+    assert np.frombuffer(b"".join(x for _, x in pieces), "<u2").tolist() == [*_encode(long), token_output.END]
+    assert packing.pack(empty).count() == 0 and sum(len(r["doc_ids"]) for r in packing.pack(clashing).collect()) == 20
+    assert packing.stage(spark, clashing, "").count() == 1
 
 
 # mixing
@@ -90,7 +101,6 @@ def test_pack_odd_rows(odd, empty, clashing):
 def _mix(rows, labels, seed=mixing.SEED):
     import hashlib
     import math
-    import re
 
     q = {}
     for d, y in labels:
@@ -98,9 +108,9 @@ def _mix(rows, labels, seed=mixing.SEED):
             q[d] = max(y, q.get(d, 0))
     docs = {}
     for d, t, s in rows:
-        n = len(re.findall(r"[^\W_]+|[^\s\w]|_", t or ""))
+        n = len(_encode(t))
         u = (int(hashlib.md5(f"{d if d is not None else ''}|{seed}".encode()).hexdigest()[:12], 16) + 1) / 2**48
-        docs[d, t] = (s, n, -math.log(u) / {1: 1.0, 0: 0.25}.get(q.get(d), 0.5))
+        docs[d, t, s] = (s, n, -math.log(u) / {1: 1.0, 0: 0.25}.get(q.get(d), 0.5))
     total = Counter()
     for s, n, _ in docs.values():
         total[s] += n
@@ -111,25 +121,27 @@ def _mix(rows, labels, seed=mixing.SEED):
         left, run = budget - epochs * total[s], 0
         for k, (_, n, _e) in sorted(((k, v) for k, v in docs.items() if v[0] == s), key=lambda kv: kv[1][2]):
             run += n
-            out[k[0]] = epochs + (left > 0 and run <= left)
+            out[k[0], s] = epochs + (left > 0 and run <= left)
     return out
 
 
 def test_mixing_against_brute_force(spark, make):
     rng = random.Random(4)
     rows = [(i, words(rng, rng.randint(0, 60)), rng.choice(["hot"] * 6 + ["a", "b", None])) for i in range(400)]
+    rows += [(5, rows[5][1], "other"), (6, *rows[6][1:]), (7, *rows[7][1:])]
     labels = [(i, rng.choice([0, 1, None])) for i in range(0, 400, 2)] + [(3, 0), (3, 1)]
     got = mixing.plan(make(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     want = _mix(rows, labels)
-    assert {r["doc_id"]: r["copies"] for r in got} == want
+    assert {(r["doc_id"], r["source"]): r["copies"] for r in got} == want and len(got) == 401
     spent = Counter()
     for r in got:
         spent[r["source"]] += r["copies"] * r["n_tokens"]
-    budget = sum(r["n_tokens"] for r in got) // 4
-    assert all(budget - 60 <= x <= budget for x in spent.values()) and max(want.values()) > 1
+    budget = sum(r["n_tokens"] for r in got) // 5
+    assert all(budget - 250 <= x <= budget for x in spent.values()) and max(want.values()) > 1
 
 
 def test_mixing_targets(make, no_labels):
+    assert len(_encode("one two three four")) == 4
     rows = [(i, "one two three four", s) for i, s in enumerate(["a"] * 50 + ["b"] * 50 + ["c"] * 50)]
     got = Counter()
     for r in mixing.plan(make(rows), no_labels, {"a": 3.0, "b": 1.0}).collect():
@@ -145,6 +157,15 @@ def test_good_documents_come_first(spark, make):
     assert good > 2 * bad > 0
 
 
+def test_mixing_by_scores(make, no_labels):
+    """Given scores are weights: of two sources of equal documents, those of high score are drawn more often."""
+    rows = [(i, "some words in here", "a" if i < 1000 else "b") for i in range(1100)]
+    score = F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.0)
+    got = mixing.plan(make(rows), no_labels, {"a": 3.0, "b": 8.0}, score=score).where("source = 'a'").collect()
+    good, bad = (sum(r["copies"] for r in got if r["doc_id"] % 2 == k) for k in (0, 1))
+    assert good > 20 * bad
+
+
 def test_mixing_odd_rows(spark, odd, empty, clashing, labels):
     p = mixing.plan(odd, labels).collect()
     assert len(p) == 16 and {r["source"] for r in p} == {"s", None}
