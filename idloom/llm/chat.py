@@ -10,14 +10,16 @@ last. A dynamic program over the automaton of legal turns repairs any sequence o
 
 A turn whose role is unknown (none of ROLES in lower case without blanks; NULL too) can only be relabelled. Of repairs of
 equal cost the one is taken whose first differing step is earlier in the order keep, merge, relabel, insert. The repaired turns are
-rendered as <|role|> line, text, <|end|> line.
+rendered as <|role|> line, text, <|end|> line. No text can pass for a marker: each <| in it, with any backslashes between, gets one backslash
+more before its bar, which a reader can take back.
 
-Plan: one shuffle gathers a conversation's turns, in order; the program runs on roles alone, and a worker remembers some thousands of
-sequences of roles; the rendering is done by Spark from the steps, in time linear in the text.
+Plan: one shuffle gathers a conversation's turns, in order; roles alone go to the program, and texts stay in Spark; a worker remembers some
+thousands of sequences of roles; the rendering is done by Spark from the steps, in time linear in the text.
 
 Defined cases: turns are ordered by turn, then role, then text, NULLs first; a turn that repeats a whole row is a turn;
-NULL texts are empty; rows without conv_id are one conversation; a conversation whose turns are all empty is
-repaired like any other. A last user turn gets an empty answer inserted if that costs least. An empty table gives an empty result.
+NULL texts are empty; of rows without conv_id no two are known to belong together: each is a conversation; a conversation whose turns are
+all empty is repaired like any other. A last user turn gets an empty answer inserted if that costs least. Texts of any length are rendered whole.
+Only conv_id, of any type, turn, role and text are read; columns of any other name are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -89,22 +91,31 @@ def _plan(roles: tuple[int, ...]) -> tuple[int, list[int], list[str], list[int]]
     return cost, kinds, [ROLES[x] for _, x in steps], [0 if k == INSERT_STEP else n for k, n in zip(kinds, takes, strict=True)]
 
 
-def _solve(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in parts:
-        plans = [_plan(tuple(roles)) for roles in b.column("roles").to_pylist()]
+def _solver() -> object:
+    """Roles to the parts of their plan."""
+
+    @F.arrow_udf("struct<cost:int,kinds:array<int>,names:array<string>,takes:array<int>>")
+    def solve(roles: pa.Array) -> pa.Array:
+        plans = [_plan(tuple(r)) for r in roles.to_pylist()]
         cost, kinds, names, takes = (list(c) for c in zip(*plans, strict=True)) if plans else ([],) * 4
         ints = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("texts"), pa.array(cost, pa.int32()), pa.array(kinds, ints), pa.array(names, pa.list_(pa.string())), pa.array(takes, ints)], ["conv_id", "texts", "cost", "kinds", "names", "takes"])
+        return pa.StructArray.from_arrays([pa.array(cost, pa.int32()), pa.array(kinds, ints), pa.array(names, pa.list_(pa.string())), pa.array(takes, ints)], ["cost", "kinds", "names", "takes"])
+
+    return solve
+
+
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, cost, merged, relabelled, inserted, rendered: a row for each conversation."""
     clean = F.lower(F.regexp_replace(F.coalesce("role", F.lit("")), r"\s", ""))
     code = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in ROLES]), clean), F.lit(0)).cast("int") - 1, F.lit(-1))
-    turns = conversations.select("conv_id", F.struct("turn", "role", "text", code.alias("code")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("ts"))
-    kind = dict(conversations.dtypes)["conv_id"]
-    ready = turns.select("conv_id", F.transform("ts", lambda t: t["code"]).alias("roles"), F.transform("ts", lambda t: F.coalesce(t["text"], F.lit(""))).alias("texts"))
-    solved = ready.mapInArrow(_solve, f"conv_id {kind}, texts array<string>, cost int, kinds array<int>, names array<string>, takes array<int>")
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = conversations.select("conv_id", alone.alias("alone"), F.struct("turn", "role", "text", code.alias("code")).alias("t")).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("ts"))
+    ready = turns.select("conv_id", F.transform("ts", lambda t: t["code"]).alias("roles"), F.transform("ts", lambda t: escaped(F.coalesce(t["text"], F.lit("")))).alias("texts"))
+    solved = ready.withColumn("plan", _solver()(F.col("roles"))).select("conv_id", "texts", "plan.*")
 
     def piece(s, j):  # noqa: ANN001, ANN202
         text = F.coalesce(F.get("texts", s["takes"] - 1), F.lit(""))

@@ -4,12 +4,14 @@ Texts are cut into blocks of fixed size in bytes. Equal blocks get one integer n
 of a document are paired, pairs are sorted into names again, and so on until each document has one name. Two
 documents have the same (level, name) if and only if their texts are equal byte for byte: no hash decides.
 
-Plan: one shuffle carries text (blocks, hash-partitioned by bucket so that each bucket is sorted by itself); all later
-levels carry 8-byte names and halve each time.
+Plan: the different blocks are what is sorted, a bucket of hashes at a time, so that a block that stands in a third of all documents is
+one row there; names are joined back, and AQE splits the rows of such a block over tasks. Two shuffles carry text; all later
+levels carry 8-byte names and halve each time. Each level is written, while the plan is made.
 
 Defined cases: a NULL text equals nothing and is kept; empty texts are equal to each other; rows equal in doc_id and text
 are one document and give one row; a NULL doc_id is kept only in a group without other ids; of equal texts the
-smallest doc_id stays. An empty table gives an empty result. Only doc_id and text are read.
+smallest doc_id stays. A text of any length is named whole, in as many levels as it takes. An empty table gives an empty result. Only doc_id,
+of any type, and text are read; columns of any other name are left alone.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import collapse_repeats, drop_documents, written, table, text_key
+from .common import clear, collapse_repeats, drop_documents, mark, table, text_key, written
 
 BLOCK_BYTES = 1024
 #: Buckets that are sorted by themselves; a name is bucket * 2**40 + rank in the bucket.
@@ -25,10 +27,11 @@ BUCKETS = 1 << 16
 
 
 def _named(rows: DataFrame, content: list[str]) -> DataFrame:
-    """Adds ``name``: equal for rows equal in ``content``, different otherwise."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*content), F.lit(BUCKETS)))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*content))
-    return rows.withColumn("name", F.col("bucket") * F.lit(1 << 40) + rank).drop("bucket", *content)
+    """Adds ``name`` in place of ``content``: equal for rows equal in it, different otherwise."""
+    different = rows.select(*content).distinct().withColumn("bucket", F.pmod(F.xxhash64(*content), F.lit(BUCKETS)))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*content))
+    names = different.select(*content, (F.col("bucket") * F.lit(1 << 40) + rank).alias("name"))
+    return rows.join(names.hint("shuffle_hash"), content).drop(*content)
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -60,9 +63,11 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each (doc_id, tkey) with a text: doc_id, tkey, n_rows, keep_id, n_copies, keep."""
-    w = Window.partitionBy("level", "name")
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"))
-    out = identities(docs, block_bytes).withColumn("best", F.min(order).over(w)).withColumn("n_copies", F.count("*").over(w))
+    out = identities(docs, block_bytes)
+    # a group may be a third of all rows: it is aggregated before it is joined back
+    best = out.groupBy(F.col("level").alias("l"), F.col("name").alias("m")).agg(F.min(order).alias("best"), F.count("*").alias("n_copies"))
+    out = out.join(best, (F.col("level") == F.col("l")) & (F.col("name") == F.col("m")))
     return out.select("doc_id", "tkey", "n_rows", F.col("best.y").alias("keep_id"), "n_copies", F.col("best.y").eqNullSafe(F.col("doc_id")).alias("keep"))
 
 
@@ -79,7 +84,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those whose text an earlier doc_id has; repeated rows become one."""
+    start = mark()
     g = written(groups(docs), "op1-groups")
+    clear(spark, start, g)
     repeats = bool(g.agg(F.max("n_rows") > 1).first()[0])
     return collapse_repeats(drop_documents(docs, g.where(~F.col("keep"))), repeats)
 
