@@ -3,41 +3,54 @@
 Finds every stretch of at least MIN_WORDS words that another document holds as well, word for word. A word is what stands
 between ASCII blanks.
 
+The order of suffixes is made to the depth that counts, MIN_WORDS words, and of those suffixes that can be in a repeat, as string sorting by
+distinguishing prefixes does (prefix-doubling merge sort; Bingmann, Sanders, Schimek 2020): what is shorter in its distinguishing
+prefix than PREFIX words isn't exchanged.
+
 1. Scan. Suffixes are taken at anchors: words whose next GRAM words have the smallest hash among WINDOW places in a row. Any
    window of MIN_WORDS words has an anchor among its first WINDOW words, at the same place wherever the window occurs, so
-   that anchors lose nothing. A suffix whose first PREFIX words (by hash) occur in one document alone is in no repeat: its
-   distinguishing prefix is shorter than what counts, and it isn't exchanged. A false hit costs work, never a result.
-2. Sort. Each task sorts its suffixes into a run and sends each range of it front-coded: length of the prefix shared with the one before,
-   and the rest. Ranges are cut at splitters from a sample.
+   that anchors lose nothing. A suffix whose first PREFIX words (by hash) occur in one document alone is in no repeat. A false hit costs
+   work, never a result: what repeats is decided by the merge, which compares texts.
+2. Sort. Each task sorts its suffixes into a run. Suffixes of a run that are equal, and equal in what stands to their left, are one entry
+   with the least and greatest document; where they are stays behind. A run goes out range by range, front-coded: length of the
+   prefix shared with the entry before, and the rest. Ranges are cut at splitters of up to PREFIX words, so that a range can be as narrow
+   as suffixes that share so many, from a sample that Spark sorts and thins.
 3. Merge. Runs of a range are merged by a loser tree whose nodes keep the prefix length shared with the last winner:
    lengths decide where they differ, and where they don't, comparison goes on behind them, so that no shared prefix is read again.
 4. Match. The merged order gives shared lengths to the right, a sort of left contexts those to the left; a window
-   of MIN_WORDS words repeats where a class of equal left and right parts has two documents. Windows unite into passages.
+   of MIN_WORDS words repeats where a class of equal left and right parts has two documents. Entries are joined with their places; windows
+   unite into passages.
+
+A passage in a third of all documents is one entry in each run for each anchor inside it. Near its start, where documents differ to the left, it
+has an entry for each of them, of some 150 bytes, and those of one anchor stand in one range. Splitters, some 170 bytes for every
+RANGE_ANCHORS suffixes that repeat, go to the driver and to each task.
 
-Defined cases: NULL or short texts have no passage; rows without a doc_id are left out; rows of one doc_id are one document, so
-repeats among them, and within one text, don't count. An empty table gives an empty result. Groups of any
-size are handled whole: work in a group is a sort, not pairs.
+Defined cases: NULL or short texts have no passage; texts of any length are read whole; rows without a doc_id are left out; rows of one doc_id are
+one document, so repeats among them, and within one text, don't count; doc_id must be a whole number. Only doc_id and text are read; columns of any
+other name are left alone. An empty table gives an empty result. Groups of any size are handled whole: work in a group is a sort, not
+pairs. Jobs run while the plan is made.
 """
 
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import written, table
+from .common import table, written
 
 MIN_WORDS = 50
 WINDOW, GRAM = 24, 8
 PREFIX = MIN_WORDS - WINDOW + 1
-SPLIT_WORDS = 8
 RANGE_ANCHORS = 40_000
 RUN_ANCHORS = 100_000
 SAMPLES_A_RANGE = 48
@@ -103,7 +116,7 @@ def shared(a: bytes, b: bytes, k: int) -> int:
 
 
 def encode(run: list[tuple]) -> bytes:
-    """A sorted run of (suffix, left, doc_id, word), front-coded and compressed."""
+    """A sorted run of entries (suffix, left, number, least doc_id, greatest doc_id), front-coded and compressed."""
     lcp, tails, before = [], [], b""
     for x in run:
         k = shared(before, x[0], 0)
@@ -112,21 +125,22 @@ def encode(run: list[tuple]) -> bytes:
         before = x[0]
     lefts = [x[1] for x in run]
     n = len(run)
-    ints = np.array([lcp, [len(t) for t in tails], [len(t) for t in lefts]], np.int32)
-    head = struct.pack("<q", n) + ints.tobytes() + np.array([x[2] for x in run], np.int64).tobytes() + np.array([x[3] for x in run], np.int64).tobytes()
+    ints = np.array([lcp, [len(t) for t in tails], [len(t) for t in lefts], [x[2] for x in run]], np.int32)
+    head = struct.pack("<q", n) + ints.tobytes() + np.array([[x[3] for x in run], [x[4] for x in run]], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(tails) + b"".join(lefts))
 
 
 class Run:
     """A run as it is read: the prefix length of each suffix with the one before is known, not compared for."""
 
-    def __init__(self, blob: bytes) -> None:
+    def __init__(self, blob: bytes, name: int = 0) -> None:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n = struct.unpack_from("<q", raw)[0]
-        ints = np.frombuffer(raw, np.int32, 3 * n, 8).reshape(3, n)
-        at = 8 + 12 * n
-        self.docs = np.frombuffer(raw, np.int64, n, at)
-        self.words = np.frombuffer(raw, np.int64, n, at + 8 * n)
+        ints = np.frombuffer(raw, np.int32, 4 * n, 8).reshape(4, n)
+        at = 8 + 16 * n
+        self.name, self.numbers = name, ints[3].tolist()
+        low, high = np.frombuffer(raw, np.int64, 2 * n, at).reshape(2, n)
+        self.low, self.high = low.tolist(), high.tolist()
         at += 16 * n
         tails = at + np.concatenate([[0], np.cumsum(ints[1], dtype=np.int64)])
         lefts = tails[-1] + np.concatenate([[0], np.cumsum(ints[2], dtype=np.int64)])
@@ -201,34 +215,36 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, Run]]:
             node //= 2
 
 
-def _suffixes(ids: np.ndarray, text: pa.Array, lists: list) -> Iterator[tuple]:
+def _suffixes(ids: list, text: pa.Array, lists: list) -> Iterator[tuple]:
     """(suffix, left context with the nearest word first, doc_id, word) of the chosen anchors."""
     for i, raw in enumerate(text.cast(pa.large_binary())):
         words = raw.as_py().split()
+        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+        starts = [0, *ends]
+        forward, back = b" ".join(words) + b" ", b" ".join(words[::-1]) + b" "
+        total, n = len(forward), len(words)
         for p in lists[i]:
-            if p + PREFIX <= len(words):
-                left = words[max(p - WINDOW + 1, 0) : p]
-                left.reverse()
-                yield b" ".join(words[p : p + MIN_WORDS]) + b" ", b" ".join(left) + b" " if left else b"", ids[i], p
+            if p + PREFIX <= n:
+                yield forward[starts[p] : starts[min(p + MIN_WORDS, n)]], back[total - starts[p] : total - starts[max(p - WINDOW + 1, 0)]], ids[i], p
 
 
 def _head(suffix: bytes) -> bytes:
+    """The part of a suffix by which it finds its range: suffixes that share PREFIX words are in one."""
     at = -1
-    for _ in range(SPLIT_WORDS):
+    for _ in range(PREFIX):
         at = suffix.index(b" ", at + 1)
     return suffix[: at + 1]
 
 
-def repeated_windows(docs: np.ndarray, words: np.ndarray, right: np.ndarray, n_right: np.ndarray, lefts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, first word, smallest doc_id that has it) of windows that two documents have. right: words shared with the suffix before."""
+def repeated_windows(low: np.ndarray, high: np.ndarray, right: np.ndarray, n_right: np.ndarray, lefts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words before the anchor, entries, smallest doc_id that has it) of windows that two documents have. right: words shared with the suffix before."""
     group = np.cumsum(right < PREFIX)
     size = np.bincount(group)
-    several = size[group] > 1
-    if not several.any():
-        return
     first = np.flatnonzero(np.r_[True, np.diff(group) != 0])
-    several &= (np.maximum.reduceat(docs, first) > np.minimum.reduceat(docs, first))[np.searchsorted(first, np.arange(len(docs)), "right") - 1]
+    several = (np.maximum.reduceat(high, first) > np.minimum.reduceat(low, first))[np.searchsorted(first, np.arange(len(low)), "right") - 1] & (size[group] > 0)
     pick = np.flatnonzero(several)
+    if not len(pick):
+        return
     keys = [int(group[i]).to_bytes(5) + lefts[i] for i in pick]
     order = sorted(range(len(pick)), key=keys.__getitem__)
     step = np.zeros(len(pick), np.int64)
@@ -239,7 +255,7 @@ def repeated_windows(docs: np.ndarray, words: np.ndarray, right: np.ndarray, n_r
         before = keys[i]
     n_left = np.array([lefts[i].count(b" ") for i in pick], np.int64)
     order = np.array(order, np.int64)
-    docs, words, n_right = docs[pick], words[pick], n_right[pick]
+    low, high, n_right = low[pick], high[pick], n_right[pick]
     for o in range(WINDOW):
         left_class = np.empty(len(pick), np.int64)
         left_class[order] = np.cumsum(step < o) if o else group[pick][order]
@@ -251,39 +267,57 @@ def repeated_windows(docs: np.ndarray, words: np.ndarray, right: np.ndarray, n_r
         by = np.argsort(key, kind="stable")
         key, idx = key[by], ok[by]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        low, high = np.minimum.reduceat(docs[idx], start), np.maximum.reduceat(docs[idx], start)
+        least, most = np.minimum.reduceat(low[idx], start), np.maximum.reduceat(high[idx], start)
         which = np.searchsorted(start, np.arange(len(idx)), "right") - 1
-        hit = (high > low)[which]
-        yield docs[idx][hit], words[idx][hit] - o, low[which][hit]
+        hit = (most > least)[which]
+        yield o, pick[idx[hit]], least[which][hit]
 
 
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    runs = [Run(b) for b in pdf["run"]]
-    docs, words, right, n_right, lefts = [], [], [], [], []
+    """run, number, near, far, first: entries whose windows with near to far words before the anchor repeat."""
+    runs = [Run(b, r) for b, r in zip(pdf["blob"], pdf["run"], strict=True)]
+    names, numbers, low, high, right, n_right, lefts = [], [], [], [], [], [], []
     for k, run in merge(runs):
-        docs.append(run.docs[run.i])
-        words.append(run.words[run.i])
+        i = run.i
+        names.append(run.name)
+        numbers.append(run.numbers[i])
+        low.append(run.low[i])
+        high.append(run.high[i])
         text = run.text
         right.append(text.count(b" ", 0, k))
         n_right.append(text.count(b" "))
         lefts.append(run.left())
-    found = list(repeated_windows(np.array(docs, np.int64), np.array(words, np.int64), np.array(right), np.array(n_right), lefts))
+    found = list(repeated_windows(np.array(low, np.int64), np.array(high, np.int64), np.array(right), np.array(n_right), lefts)) if names else []
     if not found:
-        return pd.DataFrame({"doc_id": [], "lo": [], "hi": [], "first": []}).astype("int64")
-    d, s, f = (np.concatenate(c) for c in zip(*found, strict=True))
-    by = np.lexsort((f, s, d))
-    d, s, f = d[by], s[by], f[by]
-    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)])
-    return pd.DataFrame({"doc_id": d[cut], "lo": s[cut], "hi": np.maximum.reduceat(s, cut) + MIN_WORDS, "first": np.minimum.reduceat(f, cut)})
+        return pd.DataFrame({c: [] for c in ("run", "number", "near", "far", "first")}).astype("int64")
+    o = np.concatenate([np.full(len(e), o) for o, e, _ in found])
+    e, f = (np.concatenate(c) for c in list(zip(*found, strict=True))[1:])
+    by = np.lexsort((o, e))
+    o, e, f = o[by], e[by], f[by]
+    cut = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (o[1:] > o[:-1] + 1)])
+    far = o[np.r_[cut[1:] - 1, len(o) - 1]]
+    return pd.DataFrame({"run": np.array(names, np.int64)[e[cut]], "number": np.array(numbers, np.int64)[e[cut]], "near": o[cut], "far": far, "first": np.minimum.reduceat(f, cut)})
+
+
+def splitters(heads: DataFrame, every: int) -> list[bytes]:
+    """Each ``every``-th of the heads in order: sorted and counted by Spark, so that the driver gets no more than those."""
+    n = max(1, heads.sparkSession.sparkContext.defaultParallelism)
+    placed = written(heads.repartitionByRange(n, "head").sortWithinPartitions("head").withColumn("part", F.spark_partition_id()), "op5-heads")
+    sizes = placed.groupBy("part").count()
+    base = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each core
+    sizes = sizes.select("part", F.coalesce(F.sum("count").over(base), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("head"))
+    chosen = placed.withColumn("nth", nth).join(sizes, "part").where((F.col("base") + F.col("nth")) % every == 0)
+    return sorted({bytes(r[0]) for r in chosen.select("head").collect()})
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word (behind the last), n_words, first_doc_id (smallest doc_id that shares any window of it)."""
     src = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = src.mapInArrow(_scan, "h long, doc_id long, word int")
-    w = Window.partitionBy("h")
-    found = found.withColumn("lo", F.min("doc_id").over(w)).withColumn("hi", F.max("doc_id").over(w)).where("lo < hi")
-    picked = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    found = written(src.mapInArrow(_scan, "h long, doc_id long, word int"), "op5-anchors")
+    # a hash may be that of a third of all documents: it is aggregated before it is joined back
+    twice = found.groupBy("h").agg((F.min("doc_id") < F.max("doc_id")).alias("twice")).where("twice").select("h")
+    picked = found.join(twice, "h").groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
     chosen = written(src.join(picked, "doc_id"), "op5-chosen")
     total = chosen.agg(F.sum(F.size("words"))).first()[0] or 0
     n_ranges = max(1, -(-total // RANGE_ANCHORS))
@@ -295,29 +329,31 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             lists = [[p for p in x if (d * 1_000_003 + p) * 2_654_435_761 % (1 << 32) // 8 % every == 0] for d, x in zip(ids, lists, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([_head(x[0]) for x in _suffixes(ids, b.column("text"), lists)], pa.binary())], ["head"])
 
-    heads = sorted(r[0] for r in chosen.mapInArrow(sample, "head binary").collect()) if n_ranges > 1 else []
-    splitters = sorted({bytes(heads[i * len(heads) // n_ranges]) for i in range(1, n_ranges)}) if heads else []
+    cuts = splitters(chosen.mapInArrow(sample, "head binary"), SAMPLES_A_RANGE) if n_ranges > 1 else []
 
     def sort_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from bisect import bisect_right
+        """Parts of runs by range (place, blob), and in other rows (place -1) where the entries of a run are."""
+        task, n_runs = TaskContext.get().partitionId(), 0
 
         def flush(have: list[tuple]) -> pa.RecordBatch:
+            nonlocal n_runs
+            name = (task << 24) + n_runs
+            n_runs += 1
             have.sort()
-            cut, last = [0], None
-            ranges = []
-            at = 0
-            while at < len(have):  # the runs' parts lie in order, so each splitter cuts once
-                place = bisect_right(splitters, _head(have[at][0]))
-                lo, hi = at, len(have)
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    if bisect_right(splitters, _head(have[mid][0])) > place:
-                        hi = mid
-                    else:
-                        lo = mid + 1
-                ranges.append((place, encode(have[at:lo])))
-                at = lo
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in ranges], pa.int32()), pa.array([x for _, x in ranges], pa.binary())], ["place", "run"])
+            entries, number = [], []
+            for suffix, left, doc, _ in have:
+                if entries and entries[-1][0] == suffix and entries[-1][1] == left:
+                    entries[-1][4] = doc  # sorted by doc_id too
+                else:
+                    entries.append([suffix, left, len(entries), doc, doc])
+                number.append(len(entries) - 1)
+            heads = [_head(x[0]) for x in entries]
+            places = np.array([bisect_right(cuts, h) for h in heads])
+            cut = np.r_[np.flatnonzero(np.r_[True, places[1:] != places[:-1]]), len(entries)]
+            ranges = [(int(places[i]), encode(entries[i:j])) for i, j in zip(cut, cut[1:], strict=False)]
+            n = len(ranges)
+            where = [pa.array([None] * n + [x], pa.list_(t)) for x, t in ((number, pa.int32()), ([x[2] for x in have], pa.int64()), ([x[3] for x in have], pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array([name] * (n + 1), pa.int64()), pa.array([p for p, _ in ranges] + [-1], pa.int32()), pa.array([x for _, x in ranges] + [None], pa.binary()), *where], ["run", "place", "blob", "numbers", "docs", "words"])
 
         have: list[tuple] = []
         for b in parts:
@@ -329,8 +365,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         if have:
             yield flush(have)
 
-    runs = chosen.mapInArrow(sort_runs, "place int, run binary")
-    spans = runs.groupBy("place").applyInPandas(_match, "doc_id long, lo long, hi long, first long")
+    runs = written(chosen.mapInArrow(sort_runs, "run long, place int, blob binary, numbers array<int>, docs array<long>, words array<int>"), "op5-runs")
+    hits = runs.where("place >= 0").select("place", "run", "blob").groupBy("place").applyInPandas(_match, "run long, number long, near long, far long, first long")
+    places = runs.where("place < 0").select("run", F.inline(F.arrays_zip("numbers", "docs", "words")))
+    places = places.select(F.col("run").alias("r"), F.col("numbers").alias("n"), F.col("docs").alias("doc_id"), "words")
+    spans = hits.join(places, (F.col("run") == F.col("r")) & (F.col("number") == F.col("n")))
+    spans = spans.select("doc_id", (F.col("words") - F.col("far")).alias("lo"), (F.col("words") - F.col("near") + MIN_WORDS).alias("hi"), "first")
     by_doc = Window.partitionBy("doc_id").orderBy("lo", "hi")
     spans = spans.withColumn("top", F.max("hi").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("island", F.sum(F.when(F.col("lo") <= F.col("top"), 0).otherwise(1)).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))

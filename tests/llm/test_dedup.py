@@ -234,23 +234,24 @@ def test_ids_of_other_types(spark, make):
 
 
 def _brute_passages(rows, n=suffix_dedup.MIN_WORDS):
-    seen = defaultdict(set)
+    seen = {}
     texts = [(d, t.encode().split()) for d, t in rows if d is not None and t]
     for d, w in texts:
         for i in range(len(w) - n + 1):
-            seen[b" ".join(w[i : i + n])].add(d)
+            low, high = seen.get(k := tuple(w[i : i + n]), (d, d))
+            seen[k] = (min(low, d), max(high, d))
     out = set()
     for d, w in texts:
         span = None
         for i in range(len(w) - n + 1):
-            s = seen[b" ".join(w[i : i + n])]
-            if len(s) > 1:
+            low, high = seen[tuple(w[i : i + n])]
+            if low < high:
                 if span and i <= span[1]:
-                    span = (span[0], i + n, min(span[2], *s))
+                    span = (span[0], i + n, min(span[2], low))
                 else:
                     if span:
                         out.add((d, *span))
-                    span = (i, i + n, min(s))
+                    span = (i, i + n, low)
         if span:
             out.add((d, *span))
     return out
@@ -283,6 +284,24 @@ def test_passages_one_anchor_everywhere(make):
     assert _passages(make(rows)) == _brute_passages(rows)
 
 
+def test_passage_in_ten_thousand_documents(make, monkeypatch):
+    """One passage nearly everywhere, another in some, in many runs and ranges."""
+    monkeypatch.setattr(suffix_dedup, "RANGE_ANCHORS", 2000)
+    monkeypatch.setattr(suffix_dedup, "RUN_ANCHORS", 1500)
+    rng = random.Random(12)
+    licence, other = words(rng, 80), words(rng, 60)
+    rows = [(i, f"{words(rng, rng.randint(0, 6))} {licence} {words(rng, rng.randint(0, 6))}" + (f" {other}" if i % 50 == 0 else "")) for i in range(10_000)]
+    want = _brute_passages(rows)
+    assert len(want) >= 10_000 and _passages(make(rows)) == want
+
+
+def test_passages_clashing_columns(clashing):
+    from pyspark.sql import functions as F
+
+    df = clashing.withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 12)).withColumns({c: F.lit("mine") for c in ("words", "run", "place", "head", "first")})
+    assert _passages(df) == _brute_passages([(r["doc_id"], r["text"]) for r in df.collect()]) and _passages(df)
+
+
 def test_passages_odd_rows(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert _passages(odd) == _brute_passages(rows)
@@ -291,7 +310,7 @@ def test_passages_odd_rows(odd, empty):
 
 def test_loser_tree_gives_order_and_prefixes():
     rng = random.Random(2)
-    items = [("".join(rng.choices("ab", k=rng.randint(1, 12))).encode() + b" ", b"", i, 0) for i in range(500)]
+    items = [("".join(rng.choices("ab", k=rng.randint(1, 12))).encode() + b" ", b"", i, i, i) for i in range(500)]
     for k in (1, 2, 3, 7):
         runs = [suffix_dedup.Run(suffix_dedup.encode(sorted(items[j::k]))) for j in range(k)]
         before, out = b"", []
