@@ -334,29 +334,71 @@ def _vectors(n, dim, rng):
     return x
 
 
-def test_forest_recall_against_all_pairs(spark):
-    rng = np.random.default_rng(4)
-    x = _vectors(3000, 32, rng)
+def _brute_cosines(x, threshold=embedding_dedup.THRESHOLD):
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = np.triu(y @ y.T, 1)
-    want = set(zip(*(c.tolist() for c in np.nonzero(s >= 0.9))))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "node long, v array<float>")
-    got = {(r["a"], r["b"]) for r in embedding_dedup.near_pairs(df, 32, leaf=64, cell_rows=500).collect()}
+    return s, set(zip(*(c.tolist() for c in np.nonzero(s >= threshold))))
+
+
+def _nodes_of(spark, x):
+    rows, v = embedding_dedup.unit_vectors(pa.array([r.tolist() for r in x], pa.list_(pa.float64())))
+    assert rows.tolist() == list(range(len(x)))
+    return spark.createDataFrame([(i, b) for i, b in enumerate(v.to_pylist())], "node long, v binary")
+
+
+@pytest.mark.parametrize(("cell_rows", "share"), [(500, 0.95), (150, 0.93)])
+def test_forest_recall_against_all_pairs(spark, cell_rows, share):
+    """With upper trees of depth 3 and 5, made from the sample; no pair is found that isn't one."""
+    x = _vectors(3000, 32, np.random.default_rng(4))
+    s, want = _brute_cosines(x)
+    got = {(r["a"], r["b"]) for r in embedding_dedup.near_pairs(_nodes_of(spark, x), leaf=64, cell_rows=cell_rows).collect()}
     edge = {(a, b) for a, b in want ^ got if abs(s[a, b] - 0.9) < 1e-5}
-    assert got <= want | edge and len(want) > 500 and len(got & want) >= 0.95 * len(want)
+    assert got <= want | edge and len(want) > 500 and len(got & want) >= share * len(want)
+
+
+def test_forest_is_exact_where_all_share_a_leaf(spark):
+    """Groups, sizes and links of one leaf against all pairs."""
+    x = _vectors(240, 16, np.random.default_rng(6))
+    x[200:220] = x[3]
+    _, want = _brute_cosines(x)
+    root = list(range(240))
+    for _ in range(240):
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    links = Counter(i for p in want for i in p)
+    sizes = Counter(root)
+    df = spark.createDataFrame([(i, v.tolist(), "mine") for i, v in enumerate(x)], "vec_id long, embedding array<float>, node string").withColumns({c: F.lit("mine") for c in ("v", "cell", "tree", "dim", "group_id", "keep", "own")})
+    got = {r["vec_id"]: (r["group_id"], r["group_size"], r["n_links"], r["keep"]) for r in embedding_dedup.near_groups(df).collect()}
+    assert got == {i: (root[i], sizes[root[i]], links[i], root[i] == i) for i in range(240)} and max(sizes.values()) > 20
+
+
+def test_spill_on_the_way_down_is_bounded():
+    """A vector that stands at the median of every split goes to 1 + depth + ... cells, by SPILLS, not to all."""
+    x = np.zeros((1, 8), np.float32)
+    splits = {k: (-1.0, 0.0, 1.0) for k in range(1, 1 << 10)}
+    assert len(list(embedding_dedup.route(x, 0, splits, 0))) == 1 and len(list(embedding_dedup.route(x, 0, splits, 1))) == 2
+    assert len(list(embedding_dedup.route(x, 0, splits, 2))) == 4
 
 
 def test_forest_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
-    rows = [(1, v), (2, v), (2, v), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [1.0, 2.0]), (None, v), (9, [2.0, 4.0, 6.0]), (10, [-1.0, 0.0, 0.0]), (11, [float("inf"), 0.0, 0.0])]
+    rows = [(1, v), (2, v), (2, v), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [1.0, 2.0]), (12, [1.0, 2.0]), (None, v), (9, [2.0, 4.0, 6.0]), (10, [-1.0, 0.0, 0.0]), (11, [float("inf"), 0.0, 0.0])]
+    rows += [(20, [float(i % 7) for i in range(5000)]), (21, [float(i % 7) for i in range(5000)])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {r["vec_id"]: (r["group_id"], r["keep"]) for r in embedding_dedup.near_groups(df).collect()}
-    assert got[1] == (1, True) and got[2] == (1, False) and got[9] == (1, False) and got[10] == (10, True)
-    assert all(got[i] == (i, True) for i in (3, 4, 5, 6, 7, 8, 11)) and len(got) == 12
+    got = {r["vec_id"]: (r["group_id"], r["group_size"], r["n_links"], r["keep"]) for r in embedding_dedup.near_groups(df).collect()}
+    assert got[1] == (1, 3, 2, True) and got[2] == (1, 3, 2, False) and got[9] == (1, 3, 2, False) and got[10] == (10, 1, 0, True) and got[None] == (None, 1, 0, True)
+    assert got[8] == (8, 2, 1, True) and got[12] == (8, 2, 1, False) and got[21] == (20, 2, 1, False)
+    assert all(got[i] == (i, 1, 0, True) for i in (3, 4, 5, 6, 7, 11)) and len(got) == 15
     assert embedding_dedup.near_groups(df.limit(0)).count() == 0
 
 
 def test_forest_many_equal_vectors(spark):
     rows = [(i, [1.0, 1.0 + (i % 3) * 1e-4]) for i in range(900)]
-    got = embedding_dedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf=16, cell_rows=100).select("group_id").distinct().collect()
-    assert [r[0] for r in got] == [0]
+    got = embedding_dedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf=16, cell_rows=100).select("group_id", "group_size", "n_links").distinct().collect()
+    assert [tuple(r) for r in got] == [(0, 900, 899)]
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (5, [1.0, 0.0]), (5, [0.0, 1.0])]
+    got = {r["vec_id"]: (r["group_id"], r["n_links"]) for r in embedding_dedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 5: (1, 2)}
