@@ -4,9 +4,10 @@ Texts are cut into blocks of fixed size in bytes. Equal blocks get one integer n
 of a document are paired, pairs are sorted into names again, and so on until each document has one name. Two
 documents have the same (level, name) if and only if their texts are equal byte for byte: no hash decides.
 
-Plan: the different blocks are what is sorted, a bucket of hashes at a time, so that a block that stands in a third of all documents is
-one row there; names are joined back, and AQE splits the rows of such a block over tasks. Two shuffles carry text; all later
-levels carry 8-byte names and halve each time. Each level is written, while the plan is made.
+Plan: one shuffle carries text (blocks, hash-partitioned by bucket so that each bucket is sorted by itself); all later
+levels carry 8-byte names and halve each time. The HOT most frequent blocks, by a count of hashes, are left out of it: they are
+aggregated, sorted by themselves and joined back by broadcast, HOT * BLOCK_BYTES at most, so that a block that stands in a third of all
+documents doesn't travel at all. Each level is written, while the plan is made.
 
 Defined cases: a NULL text equals nothing and is kept; empty texts are equal to each other; rows equal in doc_id and text
 are one document and give one row; a NULL doc_id is kept only in a group without other ids; of equal texts the
@@ -24,14 +25,24 @@ from .common import clear, collapse_repeats, drop_documents, mark, table, text_k
 BLOCK_BYTES = 1024
 #: Buckets that are sorted by themselves; a name is bucket * 2**40 + rank in the bucket.
 BUCKETS = 1 << 16
+#: So many blocks, the most frequent ones, are named apart; every other one has less than this part of all rows.
+HOT = 4096
 
 
 def _named(rows: DataFrame, content: list[str]) -> DataFrame:
     """Adds ``name`` in place of ``content``: equal for rows equal in it, different otherwise."""
-    different = rows.select(*content).distinct().withColumn("bucket", F.pmod(F.xxhash64(*content), F.lit(BUCKETS)))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*content))
-    names = different.select(*content, (F.col("bucket") * F.lit(1 << 40) + rank).alias("name"))
-    return rows.join(names.hint("shuffle_hash"), content).drop(*content)
+    h = F.xxhash64(*content)
+    often = rows.select(h.alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(HOT).select("h")
+    often = [r[0] for r in often.collect()]
+    spark = rows.sparkSession
+    hashes = spark.createDataFrame([(x,) for x in often], "h long")
+    hot = rows.join(F.broadcast(hashes), h == F.col("h"), "left_semi").select(*content).distinct()
+    hot = hot.select(*content, (F.lit(1 << 60) + F.row_number().over(Window.orderBy(*content))).alias("name"))  # HOT rows, but for collisions
+    rows = rows.join(F.broadcast(hot), content, "left")
+    cold = rows.where("name IS NULL").withColumn("bucket", F.pmod(h, F.lit(BUCKETS)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*content))
+    cold = cold.withColumn("name", F.col("bucket") * F.lit(1 << 40) + rank).drop("bucket", *content)
+    return rows.where("name IS NOT NULL").drop(*content).unionByName(cold)
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
