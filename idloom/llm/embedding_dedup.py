@@ -112,13 +112,14 @@ def leaves(x: np.ndarray, seed: tuple[int, ...], leaf: int = LEAF, spill: float
         todo += [(left, 2 * node), (right, 2 * node + 1)]
 
 
-def leaf_pairs(x: np.ndarray, ids: np.ndarray, threshold: float, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for i in range(0, len(x), block):
-        for j in range(i, len(x), block):
-            a, b = np.nonzero(x[i : i + block] @ x[j : j + block].T >= threshold)
-            a, b = ids[a + i], ids[b + j]
+def leaf_pairs(x: np.ndarray, rows: np.ndarray, threshold: float, block: int = 1024) -> Iterator[np.ndarray]:
+    """Pairs of rows, as less * len(x) + greater."""
+    for i in range(0, len(rows), block):
+        for j in range(i, len(rows), block):
+            a, b = divmod(np.flatnonzero(x[rows[i : i + block]] @ x[rows[j : j + block]].T >= threshold), len(rows[j : j + block]))
+            a, b = rows[a + i], rows[b + j]
             ok = a < b if i == j else a != b
-            yield np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
+            yield np.minimum(a[ok], b[ok]) * len(x) + np.maximum(a[ok], b[ok])
 
 
 def unit_vectors(col: pa.ListArray) -> tuple[np.ndarray, pa.BinaryArray]:
@@ -140,7 +141,11 @@ def unit_vectors(col: pa.ListArray) -> tuple[np.ndarray, pa.BinaryArray]:
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<f4").reshape(-1, dim)
+    """Vectors of one length, without copying."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    col = col.cast(pa.large_binary())
+    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].view("<f4").reshape(-1, dim) if len(col) else np.zeros((0, dim), np.float32)
 
 
 def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +179,13 @@ def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
                         yield pa.RecordBatch.from_arrays([pa.array((same * dim).astype(np.int32)), pa.array((same * t).astype(np.int32)), pa.array(same * cell), b.column("node").take(pick), b.column("v").take(pick)], ["dim", "tree", "cell", "node", "v"])
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by([("node", "ascending"), ("v", "ascending")])
         dim, tree, cell = (t[c][0].as_py() for c in ("dim", "tree", "cell"))
         x, ids = _matrix(t["v"], dim), t["node"].to_numpy()
-        found = [p for rows in leaves(x, (tree, cell), leaf) for p in leaf_pairs(x[rows], ids[rows], threshold)]
-        pairs = np.unique(np.concatenate([np.stack(p, 1) for p in found]), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        found = [p for rows in leaves(x, (tree, cell), leaf) for p in leaf_pairs(x, rows, threshold)]
+        a, b = divmod(np.unique(np.concatenate(found)), len(x))
+        a, b = ids[a], ids[b]
+        other = a != b
+        return pa.table({"a": pa.array(np.minimum(a, b)[other], pa.int64()), "b": pa.array(np.maximum(a, b)[other], pa.int64())})
 
     placed = nodes.select("node", "v").mapInArrow(scatter, "dim int, tree int, cell long, node long, v binary")
     return placed.groupBy("dim", "tree", "cell").applyInArrow(compare, "a long, b long").distinct()

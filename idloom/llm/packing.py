@@ -32,7 +32,7 @@ from .common import table, written
 from .token_output import END, encode, encoding, id_type, ranks_path
 
 CAPACITY = 2048
-BUCKETS = 256
+BUCKETS = 1 << 14
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
