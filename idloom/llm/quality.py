@@ -11,8 +11,9 @@ their features come to the driver. Scoring reads every text whole, and shuffles
 
 Defined cases: a NULL text, or one of blanks only, has score 0 and is rejected. Repeated rows get a score each. With no
 labelled document, or labels of one class only, the score is the share of good labels (1 where there is none).
-Labels are taken by doc_id, the largest where there are several; NULL labels don't count. An empty table gives an
-empty result.
+Labels are taken by doc_id, the largest where there are several; NULL labels don't count. Texts of any length are read whole. doc_id must be a
+whole number. Only doc_id, text and the labels are read; columns of any other name are kept by the stage and left alone. An empty table
+gives an empty result. Training runs while the plan is made.
 """
 
 from __future__ import annotations
@@ -57,8 +58,9 @@ def features(text: pa.Array) -> np.ndarray:
         h = bs.span_hash(data, s, e)
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
-        k = np.sort((r.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
-        distinct = np.bincount((k[np.r_[True, k[1:] != k[:-1]]] >> np.uint64(44)).astype(np.int64), minlength=n) if len(k) else np.zeros(n)
+        by = np.lexsort((h, r))
+        k, kr = h[by], r[by]
+        distinct = np.bincount(kr[np.r_[True, (k[1:] != k[:-1]) | (kr[1:] != kr[:-1])]], minlength=n) if len(k) else np.zeros(n)
         upper = np.concatenate([[0], np.cumsum(bs.UPPER[data])])
         capital = (e - s > 1) & (upper[e] - upper[s] > 1) if len(s) else np.zeros(0, bool)
         marked = _SYMBOL[data[e - 1]] if len(s) else np.zeros(0, bool)

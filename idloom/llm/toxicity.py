@@ -12,7 +12,9 @@ text. Scoring reads whole texts in Arrow batches, looks words up in one sorted t
 Defined cases: a word is a run of letters and digits, in lower case; a sentence ends at . ! ? or a line break. A NULL text, or one
 without words, has score 0. Repeated rows get a score each. Without labels of both classes,
 or where no word sets them apart, nothing is toxic. Labels are
-taken by doc_id, the largest where there are several; NULL labels don't count. An empty table gives an empty result.
+taken by doc_id, the largest where there are several; NULL labels don't count. Texts of any length are read whole. doc_id must be a whole number. Only
+doc_id, text and the labels are read; columns of any other name are left alone. An empty table gives an empty result. Training runs while
+the plan is made.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import written, table
+from .common import table, written
 from .quality import labelled
 
 TRAIN_ROWS = 8_000
@@ -37,6 +39,8 @@ STEPS, RATE = 250, 0.15
 SPARSE = 1.0
 #: Steps without the penalty, and again as many until it is whole: from weights of zero no word of a few documents would outgrow it.
 WARM = 80
+#: Weights under this are set to zero when training is over.
+LEAST_WEIGHT = 0.05
 THRESHOLD = 0.5
 
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
@@ -89,7 +93,7 @@ class NoisyOr:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
             w += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-5)
             w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - RATE * SPARSE * min(1, max(0, t / WARM - 1)) / len(docs) / (np.sqrt(v[:-1] / (1 - 0.999**t)) + 1e-5), 0)
-        used = np.abs(w[:-1]) > 0.05
+        used = np.abs(w[:-1]) > LEAST_WEIGHT
         self.words, self.weights, self.bias = vocabulary[used], w[:-1][used], float(w[-1]) if used.any() else -50.0
 
     def sentence_scores(self, h: np.ndarray, sent: np.ndarray, n: int) -> np.ndarray:

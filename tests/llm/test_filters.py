@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import plain_versions as plain
 from idloom.llm import chat, mixing, packing, quality, token_output, toxicity
 
 
@@ -54,8 +55,7 @@ def test_windows_repeat_what_filling_would_do():
     assert Counter(bulk) == Counter(plain)
 
 
-def _encode(text):
-    return token_output.encode(token_output.encoding(), text).tolist()
+_encode = plain.encode
 
 
 def test_pack_places_every_token_once(make):
@@ -63,26 +63,10 @@ def test_pack_places_every_token_once(make):
     rng = random.Random(3)
     rows = [(i, words(rng, rng.randint(0, 30))) for i in range(300)] + [(7, words(rng, 333)), (7, "a b c"), (7, "a b c"), (None, "d e"), (400, None)]
     got = packing.pack(make(rows), 50).collect()
-    have, sizes = Counter(), Counter()
-    for r in got:
-        ids = np.frombuffer(r["ids"], "<u2").tolist()
-        assert len(ids) == r["n_tokens"] <= 50 and r["starts"][0] == 0
-        for d, p, a, z in zip(r["doc_ids"], r["pieces"], r["starts"], [*r["starts"][1:], len(ids)]):
-            have[d, p, tuple(ids[a:z])] += 1
-            sizes[z - a] += 1
-    want = Counter()
-    for d, t in rows:
-        ids = _encode(t)
-        ids += [token_output.END] if ids else []
-        want.update((d, k // 50, tuple(ids[k : k + 50])) for k in range(0, len(ids), 50))
+    have, shape = plain.unpacked(got)
+    want = plain.pieces(rows, 50)
     assert have == want and sorted(r["window_id"] for r in got) == list(range(len(got)))
-    left, filled = dict(Counter(len(ids) for _, _, ids in want.elements())), []
-    while any(left.values()):
-        took = packing.fill(left, 50)
-        for x, n in took.items():
-            left[x] -= n
-        filled.append(tuple(sorted(Counter(took).elements())))
-    assert Counter(filled) == Counter(tuple(sorted(z - a for a, z in zip(r["starts"], [*r["starts"][1:], r["n_tokens"]]))) for r in got)
+    assert shape == plain.filled([len(ids) for _, _, ids in want.elements()], 50) and max(r["n_tokens"] for r in got) <= 50
 
 
 def test_pack_odd_rows(spark, odd, empty, clashing):
@@ -98,40 +82,14 @@ def test_pack_odd_rows(spark, odd, empty, clashing):
 # mixing
 
 
-def _mix(rows, labels, seed=mixing.SEED):
-    import hashlib
-    import math
-
-    q = {}
-    for d, y in labels:
-        if d is not None and y is not None:
-            q[d] = max(y, q.get(d, 0))
-    docs = {}
-    for d, t, s in rows:
-        n = len(_encode(t))
-        u = (int(hashlib.md5(f"{d if d is not None else ''}|{seed}".encode()).hexdigest()[:12], 16) + 1) / 2**48
-        docs[d, t, s] = (s, n, -math.log(u) / {1: 1.0, 0: 0.25}.get(q.get(d), 0.5))
-    total = Counter()
-    for s, n, _ in docs.values():
-        total[s] += n
-    budget = sum(total.values()) // len(total)
-    out = {}
-    for s in total:
-        epochs = budget // total[s] if total[s] else 0
-        left, run = budget - epochs * total[s], 0
-        for k, (_, n, _e) in sorted(((k, v) for k, v in docs.items() if v[0] == s), key=lambda kv: kv[1][2]):
-            run += n
-            out[k[0], s] = epochs + (left > 0 and run <= left)
-    return out
-
-
 def test_mixing_against_brute_force(spark, make):
     rng = random.Random(4)
     rows = [(i, words(rng, rng.randint(0, 60)), rng.choice(["hot"] * 6 + ["a", "b", None])) for i in range(400)]
     rows += [(5, rows[5][1], "other"), (6, *rows[6][1:]), (7, *rows[7][1:])]
     labels = [(i, rng.choice([0, 1, None])) for i in range(0, 400, 2)] + [(3, 0), (3, 1)]
     got = mixing.plan(make(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
-    want = _mix(rows, labels)
+    y = plain.largest(labels)
+    want = {(d, s): n for (d, _, s), n in plain.mix(rows, [{1: 1.0, 0: 0.25}.get(y.get(d), 0.5) for d, _, _ in rows], mixing.SEED).items()}
     assert {(r["doc_id"], r["source"]): r["copies"] for r in got} == want and len(got) == 401
     spent = Counter()
     for r in got:
@@ -227,6 +185,24 @@ def test_features_by_hand():
     assert np.isnan(quality.features(pa.array([None, " "]))).all()
 
 
+def test_features_against_loops():
+    rng = random.Random(9)
+    texts = [t for _, t, _ in _labelled(rng, 80)] + ["a", "A!", " x\n\ny | z|", "12 12 12 ab-", "***"]
+    got = quality.features(pa.array(texts))
+    assert got == pytest.approx(np.array([plain.features(t) for t in texts]), abs=1e-12)
+
+
+def test_quality_against_a_refit_in_loops(spark, make):
+    """The whole query, on labels with ties, NULLs and documents that aren't there, against features and boosting in plain Python."""
+    rng = random.Random(10)
+    rows = [r[:2] for r in _labelled(rng, 160)] + [(500, None), (501, "  "), (502, "once more"), (502, "once more")]
+    labels = [(i, int(not any(c in "*|!" for c in t))) for i, t in rows[:120]] + [(3, 0), (3, 1), (4, None), (None, 1), (900, 1), (7, 1), (7, 0)]
+    got = quality.classify(make(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    want = plain.quality_scores(rows, labels)
+    assert sorted(((r["doc_id"], r["score"]) for r in got), key=repr) == [(d, pytest.approx(s, abs=1e-9)) for d, s in sorted(zip((d for d, _ in rows), want), key=repr)]
+    assert 0 < sum(s >= 0.5 for s in want) < len(want)
+
+
 def test_quality_odd_rows(odd, empty, clashing, labels, no_labels):
     got = [(r["doc_id"], r["keep"]) for r in quality.classify(odd, no_labels).collect()]
     assert len(got) == odd.count() and all(not k for d, k in got if d in (3, 4, 5, 6)) and all(k for d, k in got if d in (1, 7, 11, 12, 13))
@@ -292,7 +268,26 @@ def test_noisy_or_of_sentences():
     assert scores == pytest.approx([1 - (1 - p) ** 2, p])
 
 
-def test_toxicity_odd_rows(odd, empty, labels, no_labels):
+def test_toxicity_against_a_refit_in_loops(spark, make):
+    """The whole query, on labels with ties and NULLs, against sentences and training in plain Python."""
+    rng = random.Random(11)
+    some = [words(rng, 1) for _ in range(30)]
+    rows = []
+    for i in range(90):
+        parts = [" ".join(rng.choices(some, k=rng.randint(1, 6))) for _ in range(rng.randint(1, 5))]
+        if i % 6 == 0:
+            parts[rng.randrange(len(parts))] += rng.choice([" zorgle", " Blick"])
+        rows.append((i, rng.choice([". ", "! ", "\n"]).join(parts)))
+    rows += [(200, None), (201, "..."), (202, "zorgle"), (202, "zorgle")]
+    labels = [(i, int(i % 6 == 0)) for i in range(70)] + [(6, 0), (12, None), (None, 1), (900, 1)]
+    got = toxicity.detect(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    want = plain.toxicity_scores(rows, labels)
+    assert sorted((r["doc_id"], r["score"]) for r in got) == [(d, pytest.approx(s, abs=1e-7)) for d, s in sorted(zip((d for d, _ in rows), want))]
+    assert sum(s >= 0.5 for s in want) >= 10 and {r["doc_id"] for r in got if r["toxic"]} == {d for (d, _), s in zip(rows, want) if s >= 0.5}
+
+
+def test_toxicity_odd_rows(odd, empty, clashing, labels, no_labels):
+    assert toxicity.detect(clashing.withColumns({c: F.lit("mine") for c in ("score", "toxic", "sentences", "y", "l_id")}), labels).count() == 20
     for y in (labels, no_labels):
         got = toxicity.detect(odd, y).collect()
         assert len(got) == odd.count() and not any(r["toxic"] for r in got)
