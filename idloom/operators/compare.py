@@ -31,6 +31,11 @@ def with_features(df: DataFrame) -> DataFrame:
     return df.withColumns({f: F.lit(None).cast(kinds.get(f, "string")) for f in FEATURES if f not in df.columns})
 
 
+def verify_file_identity(claimed: Column, prefix: str = "UNIV") -> Column:
+    """Whether an ID is the one of a file's FEATURES; false where either can't be had."""
+    return F.coalesce(claimed == file_identity(prefix), F.lit(False))
+
+
 def parse_file_identity(c: Column) -> Column:
     """prefix, type_code, hash; a NULL struct where there aren't three parts."""
     p = F.split(c, "-")

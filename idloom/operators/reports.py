@@ -40,6 +40,11 @@ def ends(df: DataFrame, n: int = 5) -> DataFrame:
     return first.unionByName(df.join(first.select("seq"), "seq", "left_anti").orderBy(F.col("seq").desc()).limit(n))
 
 
+def listed(ids, most: int = 5, word: str = "unique IDs"):  # noqa: ANN001, ANN201
+    """The entries of an array, in order, where they are at most so many; else how many there are."""
+    return F.when(F.size(ids) <= most, F.array_join(F.array_sort(ids), ", ")).otherwise(F.concat(F.size(ids).cast("string"), F.lit(f" {word}")))
+
+
 def shortened(c, most: int = 500, tail: str = "..."):  # noqa: ANN001, ANN201
     """At most so many characters of a text, and the tail where some are cut."""
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit(tail))).otherwise(c)

