@@ -1,21 +1,18 @@
-"""Operator 7, near-duplicates by SimHash with pigeonhole blocks.
+"""Operator 7, near-duplicates by SimHash, exact up to the bound.
 
 A document's features are its distinct words (letters and digits, lower case), each with three votes, and its distinct pairs of neighbouring
 words, with two, so that the order of words counts. Its fingerprint has 256 bits: each is the majority of that bit over the hashes
 of the features. A pair is near when its fingerprints differ in at most MAX_DISTANCE bits.
 
-The bits are split into 16 blocks of 16, in N_ORDERS fixed orders; documents that agree on a whole block of one order are compared. What
-that guarantees: pairs at distance 15 or less share a block in each order, by the pigeonhole principle. Beyond, up to the bound of 48 of
-256 bits, no affordable number of blocks guarantees it (all combinations of blocks that so many flips leave whole would be
-hundreds of keys a document at 24 bits already), and it is a matter of chance which the orders, independent
-of each other, make small: 160 blocks find 0.9995 of the pairs at distance 44, and 0.997 at the bound. Tests hold the result against
-all pairs that share a block, and recall against all pairs, at each distance up to the bound. Pairs are united into groups; the smallest doc_id of a group stays.
+All pairs of different fingerprints are compared, so that none within the bound is left out. Blocks of bits can't guarantee that at 48 of
+256 bits: those that 48 flips can't all touch are 5 bits long, and the 160 blocks of earlier versions lost 0.003 of pairs at the bound.
+Pairs are united into groups; the smallest doc_id of a group stays. Tests hold the result against all pairs.
 
 Plan: texts are read once, in Arrow batches, and leave nothing behind but fingerprints. Equal fingerprints are one node, so that
-thousands of exact copies cost one row. A block key is its number and 16 bits, of which a random pair of documents shares one in 65,536;
-key rows carry the fingerprint, and the join tests the distance. What is shuffled grows with the corpus (160 rows of
-60 bytes a node); comparisons, a few instructions each, grow with its square, so that beyond some 10**8 distinct documents BLOCK_BITS
-should be raised, and N_ORDERS with it. Candidates aren't capped. Components are found by star contraction. Jobs run while the plan is made.
+thousands of exact copies cost one row. Nodes are split into parts, at most MAX_PARTS; each two parts, and each part with itself, are a task. What
+is shuffled is a row of 48 bytes for each node and part; comparisons grow with the square of the different fingerprints. Half of
+the bits rejects nearly all pairs: a necessary condition, not a filter that loses any. Components are found by star
+contraction. Jobs run while the plan is made.
 
 Defined cases: NULL texts and texts without a word match nothing and are kept, each document as its own group; rows equal in
 doc_id and text are one document; a NULL doc_id is kept only in a group without other ids. Texts of any length are read whole; a text
@@ -25,6 +22,7 @@ and text are read; columns of any other name are left alone. An empty table give
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +40,10 @@ BLOCK_BITS = 16
 MAX_DISTANCE = 48
 WORD_VOTES, PAIR_VOTES = 3, 2
 NODE_BUCKETS = 1 << 16
-#: Fingerprints that are turned into key rows at once.
-KEY_BATCH = 4096
+#: Parts of the nodes at most; each node is sent once for each.
+MAX_PARTS = 64
+#: Fingerprints that one is compared with at once, and pairs that are returned at once.
+COMPARE_COLUMNS, PAIR_BATCH = 1 << 14, 1 << 18
 
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64)[:, 0]
 _WORDS = [f"f{i}" for i in range(N_BITS // 64)]
@@ -96,6 +96,7 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bits, words
 
 
+# No pair is found by blocks any more: older tests alone, which measure what blocks would find, call block_values.
 def block_values(bits: np.ndarray) -> np.ndarray:
     weights = 1 << np.arange(BLOCK_BITS)
     out = [bits[:, order[: N_BLOCKS * BLOCK_BITS]].reshape(-1, N_BLOCKS, BLOCK_BITS) @ weights for order in _orders()]
@@ -122,24 +123,73 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return fp.withColumn("node", node).withColumn("head", head & some).select("doc_id", "tkey", "n_words", "node", *_WORDS, "head")
 
 
-def _keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block of each node, block by block, so that rows of one node don't lie together."""
-    for b in parts:
-        for i in range(0, b.num_rows, KEY_BATCH):
-            part = b.slice(i, KEY_BATCH)
-            packed = np.stack([part.column(w).to_numpy() for w in _WORDS], axis=1)
-            blocks = block_values(np.unpackbits(np.ascontiguousarray(packed).view(np.uint8), axis=1).astype(bool))
-            for k in range(blocks.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array((k << BLOCK_BITS) + blocks[:, k]), *part.columns], ["key", "node", *_WORDS])
+def tiles(n: int) -> int:
+    """Into how many parts n nodes are split; each two of them, and each with itself, are one task."""
+    return max(1, min(MAX_PARTS, math.isqrt(n) // 48))
+
+
+def _compare(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, same: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of near rows of a and b; where they are the same rows, each two of them once. All pairs are compared by half of
+    their bits, which alone differ in more than ``most`` for nearly all pairs; the rest of the bits decide on those left."""
+    half = a.shape[1] // 2
+    for at in range(0, len(b), COMPARE_COLUMNS):
+        part = np.ascontiguousarray(b[at : at + COMPARE_COLUMNS].T)
+        x, c, one = np.empty(part.shape[1], np.uint64), np.empty(part.shape[1], np.uint8), np.empty(part.shape[1], np.uint8)
+        for i in range(min(len(a), at + part.shape[1]) if same else len(a)):
+            lo = max(0, i + 1 - at) if same else 0
+            xs, cs, ones = x[lo:], c[lo:], one[lo:]
+            np.bitwise_count(np.bitwise_xor(part[0, lo:], a[i, 0], out=xs), out=cs)
+            for w in range(1, half):
+                np.add(cs, np.bitwise_count(np.bitwise_xor(part[w, lo:], a[i, w], out=xs), out=ones), out=cs)
+            left = np.flatnonzero(cs <= most)
+            if len(left):
+                rest = np.bitwise_count(part[half:, lo:].take(left, axis=1) ^ a[i, half:, None]).sum(0, dtype=np.int64) + cs[left]
+                hit = left[rest <= most]
+                if len(hit):
+                    yield np.full(len(hit), na[i]), nb[at + lo + hit]
+
+
+def _tile_pairs(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """a, b of rows (tile, part, node, fingerprint); a tile's rows are all in one partition."""
+    batches = [b for b in parts if b.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    tile, part, node = (t.column(c).to_numpy() for c in ("tile", "part", "node"))
+    bits = np.stack([t.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for k in np.unique(tile):
+        rows = np.flatnonzero(tile == k)
+        first = rows[part[rows] == part[rows].min()]
+        second = rows[part[rows] != part[first[0]]]
+        j = int(part[rows].max())
+        same = k == j * (j + 1) // 2 + j
+        if same:
+            second = first
+        for a, b in _compare(node[first], bits[first], node[second], bits[second], same, most):
+            found.append((a, b))
+            n += len(a)
+            if n >= PAIR_BATCH:
+                yield _pair_batch(found)
+                found, n = [], 0
+    if found:
+        yield _pair_batch(found)
+
+
+def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Pairs a < b of nodes that share a block and differ in at most max_distance bits."""
-    keys = nodes.where("head").select("node", *_WORDS).mapInArrow(_keys, "key int, node long, " + ", ".join(f"{w} long" for w in _WORDS))
-    a, b = keys.alias("a"), keys.alias("b")
-    distance = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _WORDS), F.lit(0))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (distance <= max_distance))
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    """All pairs a < b of nodes that differ in at most max_distance bits, each once. Counts the nodes while the plan is made."""
+    heads = nodes.where("head").select("node", *_WORDS)
+    n = tiles(heads.count())
+    rows = heads.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.greatest(k, "part") * (F.greatest(k, "part") + 1) / 2).cast("int") + F.least(k, "part"))
+    rows = rows.select(F.explode(to).alias("tile"), "part", "node", *_WORDS).repartitionById(n * (n + 1) // 2, F.col("tile"))
+    return rows.mapInArrow(lambda parts: _tile_pairs(parts, max_distance), "a long, b long")
 
 
 def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

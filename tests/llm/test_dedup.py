@@ -192,6 +192,22 @@ def test_simhash_recall_by_distance(distance, share):
     assert (simhash.block_values(x) == simhash.block_values(y)).any(1).mean() >= share
 
 
+def test_simhash_all_pairs_at_the_bound(spark):
+    """Pairs at exactly the bound are found, also those that share no block of any order; those one bit further aren't."""
+    rng = np.random.default_rng(9)
+    x = rng.random((12_000, simhash.N_BITS)) < 0.5
+    half = len(x) // 2
+    x[half:] = x[:half]
+    for i in range(half):
+        x[half + i, rng.choice(simhash.N_BITS, simhash.MAX_DISTANCE + i % 2, replace=False)] ^= True
+    blocks = simhash.block_values(x)
+    assert (~(blocks[:half:2] == blocks[half::2]).any(1)).sum() >= 3 and simhash.tiles(len(x)) > 1
+    packed = np.packbits(x, axis=1).view(np.int64)
+    nodes = spark.createDataFrame([(i, *map(int, r), True) for i, r in enumerate(packed)], "node long, f0 long, f1 long, f2 long, f3 long, head boolean")
+    got = [(r["a"], r["b"]) for r in simhash.near_pairs(nodes).collect()]
+    assert sorted(got) == [(i, half + i) for i in range(0, half, 2)]
+
+
 def test_simhash_fingerprint_is_majority():
     """Of distinct words with three votes, and of distinct pairs of neighbours with two; written as loops."""
     text = " ".join(f"w{i % 400}" for i in range(1000)) + " and the end"
