@@ -198,16 +198,18 @@ def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     pairs = written(near_pairs(nodes, max_distance), "op7-pairs")
     roots = connected_components(pairs)
     rows = nodes.groupBy("doc_id", "tkey", "node").agg(F.count("*").alias("n_rows"))
+    # what is joined grows with the corpus, and Spark takes it for as small as its compressed files: by sorting, since broadcasts may not fit the driver
+    roots = roots.hint("merge")
     sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("own"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("own").alias("others"))
+    others = both.join(sizes.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("own").alias("others"))
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("tkey").alias("z"))
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # a group may be a third of all rows: it is aggregated before it is joined back
     best = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-    per_node = sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(others, "node", "left").join(best, "root")
+    per_node = sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(others.hint("merge"), "node", "left").join(best.hint("merge"), "root")
     per_node = per_node.select(F.col("node").alias("m"), "best", "group_size", (F.coalesce("others", F.lit(0)) + F.col("own") - 1).alias("n_links"))
-    rows = rows.drop("root").join(per_node, F.col("node") == F.col("m"), "left")
+    rows = rows.drop("root").join(per_node.hint("merge"), F.col("node") == F.col("m"), "left")
     lone = F.col("best").isNull()
     keep = lone | (F.col("best.y").eqNullSafe(F.col("doc_id")) & (F.col("best.z") == F.col("tkey")))
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")

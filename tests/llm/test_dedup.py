@@ -208,6 +208,15 @@ def test_simhash_all_pairs_at_the_bound(spark):
     assert sorted(got) == [(i, half + i) for i in range(0, half, 2)]
 
 
+def test_simhash_broadcasts_nothing_that_grows(spark, make, corpus):
+    """Neither pairs nor groups are broadcast, however small Spark takes the tables to be: key rows were, which the driver can't hold."""
+    rows = make(corpus)
+    nodes = simhash.written(simhash._nodes(rows), "test-nodes")
+    for df in (simhash.near_pairs(nodes), simhash.simhash_near_dedup(rows)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_fingerprint_is_majority():
     """Of distinct words with three votes, and of distinct pairs of neighbours with two; written as loops."""
     text = " ".join(f"w{i % 400}" for i in range(1000)) + " and the end"
