@@ -4,15 +4,18 @@ A document's features are its distinct words (letters and digits, lower case), e
 words, with two, so that the order of words counts. Its fingerprint has 256 bits: each is the majority of that bit over the hashes
 of the features. A pair is near when its fingerprints differ in at most MAX_DISTANCE bits.
 
-All pairs of different fingerprints are compared, so that none within the bound is left out. Blocks of bits can't guarantee that at 48 of
-256 bits: those that 48 flips can't all touch are 5 bits long, and the 160 blocks of earlier versions lost 0.003 of pairs at the bound.
+No pair within the bound is left out. Equal blocks of bits can't guarantee that at 48 of 256 bits: those that 48 flips can't all touch are 5
+bits long, and the 160 blocks of earlier versions lost 0.003 of pairs at the bound. Bands of 12 to 16 bits that are nearly equal can: the
+bits are cut into bands with bounds (1 or 2 bits) that add up so that a pair beyond all of them is beyond the bound. A fingerprint is compared with all
+that are within the bound of a band, a fifth to a twentieth of all pairs, and each pair is told by its first such band alone. Few
+fingerprints, or such that bands would spare little, are compared whole.
 Pairs are united into groups; the smallest doc_id of a group stays. Tests hold the result against all pairs.
 
 Plan: texts are read once, in Arrow batches, and leave nothing behind but fingerprints. Equal fingerprints are one node, so that
-thousands of exact copies cost one row. Nodes are split into parts, at most MAX_PARTS; each two parts, and each part with itself, are a task. What
-is shuffled is a row of 48 bytes for each node and part; comparisons grow with the square of the different fingerprints. Half of
-the bits rejects nearly all pairs: a necessary condition, not a filter that loses any. Components are found by star
-contraction. Jobs run while the plan is made.
+thousands of exact copies cost one row. Nodes are split into parts of PART_NODES, at most MAX_PARTS; each two parts, and each part with itself, are a
+tile, whose bands are split among tasks. What is shuffled is a row of 48 bytes for each node, part and share of a tile; comparisons still grow
+with the square of the different fingerprints. Half of the bits rejects nearly all pairs: a necessary condition, not a filter that
+loses any. Components are found by star contraction. Jobs run while the plan is made.
 
 Defined cases: NULL texts and texts without a word match nothing and are kept, each document as its own group; rows equal in
 doc_id and text are one document; a NULL doc_id is kept only in a group without other ids. Texts of any length are read whole; a text
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,10 @@ BLOCK_BITS = 16
 MAX_DISTANCE = 48
 WORD_VOTES, PAIR_VOTES = 3, 2
 NODE_BUCKETS = 1 << 16
-#: Parts of the nodes at most; each node is sent once for each.
-MAX_PARTS = 64
+#: Parts of the nodes at most, and nodes of one; each node is sent once for each part and share of a tile.
+MAX_PARTS, PART_NODES = 64, 1 << 20
+#: Pairs of rows below which a tile is compared whole.
+SMALL_TILE = 1 << 30
 #: Fingerprints that one is compared with at once, and pairs that are returned at once.
 COMPARE_COLUMNS, PAIR_BATCH = 1 << 14, 1 << 18
 
@@ -124,18 +130,45 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def tiles(n: int) -> int:
-    """Into how many parts n nodes are split; each two of them, and each with itself, are one task."""
-    return max(1, min(MAX_PARTS, math.isqrt(n) // 48))
+    """Into how many parts n nodes are split; each two of them, and each with itself, are a tile."""
+    return max(1, min(MAX_PARTS, math.isqrt(n) // 48 if n * n < 4 * SMALL_TILE else -(-n // PART_NODES)))
 
 
-def _compare(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, same: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of near rows of a and b; where they are the same rows, each two of them once. All pairs are compared by half of
+def shares(parts: int) -> int:
+    """Into how many tasks a tile's blocks are split, so that few tiles keep all cores busy."""
+    return max(1, min(16, -(-32 // (parts * (parts + 1) // 2))))
+
+
+def bands(n_bits: int, most: int, width: int) -> list[tuple[np.ndarray, int]]:
+    """Places of bits and the bound of each band: fingerprints at most ``most`` bits apart are within its bound in one band at least.
+
+    Were they beyond it in all, by one bit at least, the bits that differ would be the sum of bounds and bands or more, which is most + 1. Bands
+    that need no look (bound -1) are left out.
+    """
+    m = max(1, n_bits // width)
+    places = np.array_split(np.random.default_rng(0).permutation(n_bits), m)
+    return [(np.sort(x), (most + 1) // m + (i < (most + 1) % m) - 1) for i, x in enumerate(places) if (most + 1) // m + (i < (most + 1) % m) > 0]
+
+
+def _band_keys(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(bits), np.uint64)
+    for i, p in enumerate(places):
+        key |= ((bits[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)) << np.uint64(i)
+    return key.astype(np.int64)
+
+
+def _masks(width: int, bound: int) -> np.ndarray:
+    return np.array(sorted(sum(1 << i for i in c) for k in range(bound + 1) for c in combinations(range(width), k)), np.int64)
+
+
+def _compare(a: np.ndarray, b: np.ndarray, rows: np.ndarray, same: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near ones of a's ``rows`` and all of b; where a is b, each two of them once. All pairs are compared by half of
     their bits, which alone differ in more than ``most`` for nearly all pairs; the rest of the bits decide on those left."""
     half = a.shape[1] // 2
     for at in range(0, len(b), COMPARE_COLUMNS):
         part = np.ascontiguousarray(b[at : at + COMPARE_COLUMNS].T)
         x, c, one = np.empty(part.shape[1], np.uint64), np.empty(part.shape[1], np.uint8), np.empty(part.shape[1], np.uint8)
-        for i in range(min(len(a), at + part.shape[1]) if same else len(a)):
+        for i in rows[rows < at + part.shape[1]] if same else rows:
             lo = max(0, i + 1 - at) if same else 0
             xs, cs, ones = x[lo:], c[lo:], one[lo:]
             np.bitwise_count(np.bitwise_xor(part[0, lo:], a[i, 0], out=xs), out=cs)
@@ -146,34 +179,151 @@ def _compare(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, same:
                 rest = np.bitwise_count(part[half:, lo:].take(left, axis=1) ^ a[i, half:, None]).sum(0, dtype=np.int64) + cs[left]
                 hit = left[rest <= most]
                 if len(hit):
-                    yield np.full(len(hit), na[i]), nb[at + lo + hit]
+                    yield np.full(len(hit), i), at + lo + hit
+
+
+def _first_band(found: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, earlier: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that no earlier band has found."""
+    i, j = found
+    new = np.ones(len(i), bool)
+    x = a[i] ^ b[j]
+    for places, bound in earlier:
+        mask = np.zeros(a.shape[1], np.uint64)
+        for p in places:
+            mask[p // 64] |= np.uint64(1) << np.uint64(p % 64)
+        new &= np.bitwise_count(x & mask).sum(1, dtype=np.int64) > bound
+    return i[new], j[new]
+
+
+def _band_pairs(a: np.ndarray, b: np.ndarray, same: bool, most: int, places: np.ndarray, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near rows of a and b that are within the band's bound; where they are the same rows, each two of them once. Rows of one key are compared
+    with all rows whose keys are that near, by half of their bits first: the words that have the fewer bits of the band."""
+    width = len(places)
+    masks = _masks(width, bound)
+    ka = _band_keys(a, places)
+    kb = ka if same else _band_keys(b, places)
+    by_a = np.argsort(ka, kind="stable")
+    by_b = by_a if same else np.argsort(kb, kind="stable")
+    start_a = np.searchsorted(ka[by_a], np.arange((1 << width) + 1))
+    start_b = start_a if same else np.searchsorted(kb[by_b], np.arange((1 << width) + 1))
+    in_word = np.bincount(places // 64, minlength=a.shape[1])
+    words = np.argsort(in_word, kind="stable")
+    half = a.shape[1] // 2
+    first, rest = words[:half], words[half:]
+    sorted_words = lambda x, by, of: [np.ascontiguousarray(x[by, w]) for w in of]
+    wa, ra = sorted_words(a, by_a, first), sorted_words(a, by_a, rest)
+    wb, rb = (wa, ra) if same else (sorted_words(b, by_b, first), sorted_words(b, by_b, rest))
+    # written to again and again: fresh arrays of this size would cost more than what is computed
+    x, d, one = np.empty(COMPARE_COLUMNS, np.uint64), np.empty(COMPARE_COLUMNS, np.uint8), np.empty(COMPARE_COLUMNS, np.uint8)
+    near_enough = np.zeros(COMPARE_COLUMNS, bool)
+    for key in np.flatnonzero(np.diff(start_a)):
+        near = masks ^ key
+        if same:
+            near = near[near >= key]
+        begin = start_b[near]
+        n = start_b[near + 1] - begin
+        ends = np.cumsum(n)
+        if not ends[-1]:
+            continue
+        cols = np.repeat(begin - (ends - n), n)
+        cols += np.arange(len(cols))
+        lo, hi = start_a[key], start_a[key + 1]
+        for c0 in range(0, len(cols), COMPARE_COLUMNS):
+            cs = cols[c0 : c0 + COMPARE_COLUMNS]
+            parts = [w[cs] for w in wb]
+            step = max(1, COMPARE_COLUMNS // len(cs))
+            for r0 in range(lo, hi, step):
+                r1 = min(hi, r0 + step)
+                size = (r1 - r0) * len(cs)
+                xs, ds, ones = (z[:size].reshape(r1 - r0, len(cs)) for z in (x, d, one))
+                np.bitwise_count(np.bitwise_xor(wa[0][r0:r1, None], parts[0], out=xs), out=ds)
+                for w in range(1, half):
+                    np.add(ds, np.bitwise_count(np.bitwise_xor(wa[w][r0:r1, None], parts[w], out=xs), out=ones), out=ds)
+                np.less_equal(d[:size], most, out=near_enough[:size])
+                near_enough[size:] = False
+                # by eights first, which is faster where few are left
+                eights = np.flatnonzero(near_enough.view(np.uint64))
+                if not len(eights):
+                    continue
+                e, at = np.nonzero(near_enough.reshape(-1, 8)[eights])
+                left = eights[e] * 8 + at
+                r, c = np.divmod(left, len(cs))
+                r += r0
+                c = cs[c]
+                total = d[left].astype(np.int64)
+                for u, v in zip(ra, rb, strict=True):
+                    total += np.bitwise_count(u[r] ^ v[c])
+                hit = np.flatnonzero(total <= most)
+                if len(hit):
+                    i, j = by_a[r[hit]], by_b[c[hit]]
+                    if same:
+                        # of one key, both orders are met, and each row itself
+                        once = (ka[i] != ka[j]) | (i < j)
+                        i, j = i[once], j[once]
+                    if len(i):
+                        yield i, j
+
+
+def _width(na: int, nb: int) -> int:
+    """Bits of a band: some 64 rows share a key, so that comparisons outweigh what each key costs."""
+    return min(16, max(8, round(math.log2(max(1, math.isqrt(na * nb)) / 64))))
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, same: bool, by: list[tuple[np.ndarray, int]]) -> float:
+    """How many pairs bands compare."""
+    total = 0.0
+    for places, bound in by:
+        ha = np.bincount(_band_keys(a, places), minlength=1 << len(places)).astype(float)
+        hb = ha if same else np.bincount(_band_keys(b, places), minlength=1 << len(places)).astype(float)
+        at = np.arange(len(ha))
+        total += sum(float(ha @ hb[at ^ m]) for m in _masks(len(places), bound))
+    return total / 2 if same else total
+
+
+def _near(a: np.ndarray, b: np.ndarray, same: bool, most: int, share: int, n_shares: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Share ``share`` of the near rows of a and b, all of which are shares 0 to n_shares - 1 together, each pair once."""
+    by = bands(a.shape[1] * 64, most, _width(len(a), len(b)))
+    if len(a) * len(b) < SMALL_TILE or _candidates(a, b, same, by) > len(a) * len(b) / (3 if same else 1.5):
+        # few rows, or rows so alike that bands would spare little
+        yield from _compare(a, b, np.arange(share, len(a), n_shares), same, most)
+        return
+    for k in range(share, len(by), n_shares):
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for i, j in _band_pairs(a, b, same, most, *by[k]):
+            found.append((i, j))
+            n += len(i)
+            if n >= PAIR_BATCH:
+                yield _first_band(tuple(np.concatenate(x) for x in zip(*found, strict=True)), a, b, by[:k])
+                found, n = [], 0
+        if found:
+            yield _first_band(tuple(np.concatenate(x) for x in zip(*found, strict=True)), a, b, by[:k])
 
 
-def _tile_pairs(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """a, b of rows (tile, part, node, fingerprint); a tile's rows are all in one partition."""
+def _tile_pairs(parts: Iterator[pa.RecordBatch], most: int, n_shares: int) -> Iterator[pa.RecordBatch]:
+    """a, b of rows (tile, part, node, fingerprint); the rows of a tile's share are all in one partition."""
     batches = [b for b in parts if b.num_rows]
     if not batches:
         return
     t = pa.Table.from_batches(batches)
     tile, part, node = (t.column(c).to_numpy() for c in ("tile", "part", "node"))
     bits = np.stack([t.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
+    del batches, t
     found: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
-    for k in np.unique(tile):
-        rows = np.flatnonzero(tile == k)
-        first = rows[part[rows] == part[rows].min()]
-        second = rows[part[rows] != part[first[0]]]
-        j = int(part[rows].max())
-        same = k == j * (j + 1) // 2 + j
-        if same:
-            second = first
-        for a, b in _compare(node[first], bits[first], node[second], bits[second], same, most):
-            found.append((a, b))
-            n += len(a)
+    for task in np.unique(tile):
+        k, share = divmod(int(task), n_shares)
+        rows = np.flatnonzero(tile == task)
+        j = (math.isqrt(8 * k + 1) - 1) // 2
+        i = k - j * (j + 1) // 2
+        first, second = rows[part[rows] == i], rows[part[rows] == j]
+        for x, y in _near(bits[first], bits[second], i == j, most, share, n_shares):
+            found.append((node[first[x]], node[second[y]]))
+            n += len(x)
             if n >= PAIR_BATCH:
                 yield _pair_batch(found)
                 found, n = [], 0
-    if found:
+    if n:
         yield _pair_batch(found)
 
 
@@ -186,10 +336,12 @@ def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """All pairs a < b of nodes that differ in at most max_distance bits, each once. Counts the nodes while the plan is made."""
     heads = nodes.where("head").select("node", *_WORDS)
     n = tiles(heads.count())
+    m = shares(n)
     rows = heads.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.greatest(k, "part") * (F.greatest(k, "part") + 1) / 2).cast("int") + F.least(k, "part"))
-    rows = rows.select(F.explode(to).alias("tile"), "part", "node", *_WORDS).repartitionById(n * (n + 1) // 2, F.col("tile"))
-    return rows.mapInArrow(lambda parts: _tile_pairs(parts, max_distance), "a long, b long")
+    tile = lambda k: (F.greatest(k, "part") * (F.greatest(k, "part") + 1) / 2).cast("int") + F.least(k, "part")
+    to = F.transform(F.sequence(F.lit(0), F.lit(n * m - 1)), lambda x: tile((x / m).cast("int")) * m + x % m)
+    rows = rows.select(F.explode(to).alias("tile"), "part", "node", *_WORDS).repartitionById(n * (n + 1) // 2 * m, F.col("tile"))
+    return rows.mapInArrow(lambda parts: _tile_pairs(parts, max_distance, m), "a long, b long")
 
 
 def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -208,6 +208,34 @@ def test_simhash_all_pairs_at_the_bound(spark):
     assert sorted(got) == [(i, half + i) for i in range(0, half, 2)]
 
 
+def test_simhash_bands_against_all_pairs(monkeypatch):
+    """Bands spare most comparisons and lose no pair, also where the distance is spread so that no band is equal; each pair is told once."""
+    rng = np.random.default_rng(12)
+    x = rng.random((6000, simhash.N_BITS)) < 0.5
+    for i in range(600):
+        x[3000 + i] = x[i]
+        x[3000 + i, rng.choice(simhash.N_BITS, i % 60, replace=False)] ^= True
+    for i in range(40):  # 48 or 49 bits, as even over the bands as can be
+        x[4000 + i] = x[1000 + i]
+        at = [p for places in zip(*[p[:3] for p, _ in simhash.bands(simhash.N_BITS, simhash.MAX_DISTANCE, 12)], strict=True) for p in places]
+        x[4000 + i, at[: simhash.MAX_DISTANCE + i % 2]] ^= True
+    bits = np.packbits(x, axis=1, bitorder="little").view(np.uint64)
+    d = np.bitwise_count(bits[:, None, :] ^ bits[None, :, :]).sum(2)
+    monkeypatch.setattr(simhash, "SMALL_TILE", 0)
+    monkeypatch.setattr(simhash, "_width", lambda na, nb: 12)
+    monkeypatch.setattr(simhash, "_compare", lambda *a: pytest.fail("compared whole"))
+    by = simhash.bands(simhash.N_BITS, simhash.MAX_DISTANCE, 12)
+    assert sum(b + 1 for _, b in by) == simhash.MAX_DISTANCE + 1 and simhash._candidates(bits, bits, True, by) < 6000 * 6000 / 2 / 4
+    for a, b, same in ((bits, bits, True), (bits[:3500], bits[3000:], False)):
+        got = [(i, j) for share in range(4) for p, q in simhash._near(a, b, same, simhash.MAX_DISTANCE, share, 4) for i, j in zip(p.tolist(), q.tolist(), strict=True)]
+        if same:
+            want = {(i, j) for i, j in np.argwhere(d <= simhash.MAX_DISTANCE).tolist() if i < j}
+            got = [(min(p), max(p)) for p in got]
+        else:
+            want = {(i, j - 3000) for i, j in np.argwhere(d <= simhash.MAX_DISTANCE).tolist() if i < 3500 and j >= 3000}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 400
+
+
 def test_simhash_broadcasts_nothing_that_grows(spark, make, corpus):
     """Neither pairs nor groups are broadcast, however small Spark takes the tables to be: key rows were, which the driver can't hold."""
     rows = make(corpus)
