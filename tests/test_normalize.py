@@ -97,3 +97,11 @@ def test_entities_in_order(spark):
     n, a, d, nums = apply(spark, [t, None], E.tax_numbers, E.amounts, E.dates, E.document_numbers)[0]
     assert n == ["5213017228"] and "1230.50" in a and "999.99" in a and d[:2] == ["2025-02-01", "15.01.2025"] and "2023/06/29" not in d and len(set(nums)) == len(nums)
     assert apply(spark, [None], E.tax_numbers, E.amounts)[0] == ([], [])
+
+
+def test_a_computed_value_is_computed_once(spark):
+    """Whatever uses a matched text, each pattern is in the plan once for it: in branches Spark computes a value anew for each use."""
+    t = F.col("t")
+    for c, pattern, most in ((N.printed_date(F.regexp_extract(t, "x(.*)y", 1)), "x(.*)y", 1), (E.first_match(t, "x(.*)y"), "x(.*)y", 1), (N.printed_amount(F.regexp_extract(t, "x(.*)y", 1)), "x(.*)y", 1)):
+        plan = spark.createDataFrame([("x2024-05-02y",)], "t string").select(c.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count(pattern) <= most
