@@ -14,17 +14,28 @@ BATCH = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".bmp")
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp")
 
 
+#: Rows that one task is given at most, and bytes of a table below which its rows aren't counted.
+TASK_ROWS, COUNTED_BYTES = 100_000, 1 << 22
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows of a scan over all cores, where its files give fewer partitions than there are cores; else, and for streams, as it is.
+    """The rows of a scan over all cores, and over more tasks the more rows there are; where the scan does that itself, and for streams, as it is.
 
-    A small table is often one row group, which one task reads; what follows, bound by regular expressions, would stay in it. Spark moves the
-    columns that are used alone, before they are worked on. Takes a scan with filters and projections at most: counting the partitions of
-    such a plan runs nothing.
+    A table is often one file of one or a few row groups, each of which one task reads, however many partitions its bytes are cut into; what
+    follows, bound by regular expressions, would stay in those tasks. So the rows of each partition are counted, unless the table is
+    small, which reads the files' footers alone while the plan is made. Spark moves the columns that are used alone, before they are
+    worked on. Takes a scan with filters and projections at most.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if df.isStreaming:
         return df
-    return df.repartition(cores * 2)
+    plan = df._jdf.queryExecution()
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) < COUNTED_BYTES
+    if small:
+        return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores * 2)
+    rows, most = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    wanted = max(cores * 2, -(-(rows or 0) // TASK_ROWS))
+    return df if (most or 0) <= 2 * (rows or 0) // wanted and plan.toRdd().getNumPartitions() >= cores else df.repartition(wanted)
 
 
 def suffix(path: Column) -> Column:

@@ -103,3 +103,24 @@ def test_png_is_decoded_by_spark(spark, tmp_path):
     (tmp_path / "p.png").write_bytes(png)
     r = images.fingerprints(images.read_images(spark, str(tmp_path))).first()
     assert tuple(r)[1:4] == images.fingerprint(img)[:3]
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of one row group is cut into many partitions by its bytes, of which one has all the rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 900_000
+    path = str(tmp_path / "one.parquet")
+    pq.write_table(pa.table({"k": np.random.default_rng(1).integers(0, 1 << 62, n)}), path, row_group_size=n, compression="none")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= cores
+        sizes = [r["count"] for r in files.spread(df).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(sizes) == n and max(sizes) <= files.TASK_ROWS and len(sizes) >= cores
