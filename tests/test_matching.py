@@ -157,3 +157,24 @@ def test_band_combinations(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     shared = df.select(F.size(H.bands(F.col("a"), 6, 3)).alias("keys"), F.size(F.array_intersect(H.bands(F.col("a"), 6, 3), H.bands(F.col("b"), 6, 3))).alias("n")).collect()
     assert all(r["keys"] == 84 and r["n"] > 0 for r in shared)
+
+
+def test_best_match_broadcasts_no_keys(spark):
+    """Key rows, up to 56 for a record, aren't broadcast, however small Spark takes the records for."""
+    d = spark.createDataFrame([(i, f"{i * 977:016x}", None) for i in range(50)], "seq long, dhash string, phash string")
+    assert "Broadcast" not in nearest.best_match(d, d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_by_values_are_not_shuffled(spark):
+    """Of n records of one business key all n * (n - 1) / 2 pairs match: no exchange has them, and components take fewer edges than nodes of each task."""
+    from idloom.operators.components import components, forest
+
+    m = {"type": "paragon", "date": "2025-01-01", "contractor": "DUO", "amount": "30.26", "currency": "PLN"}
+    n = 300
+    pairs = matching.blocked_pairs(spark.createDataFrame([record(i, f"D{i}", text="1,11 2,22 3,33", meta=m) for i in range(n)], SCHEMA), by_document=False)
+    links = forest(pairs.select(F.col("seq_new").alias("a"), F.col("seq_old").alias("b")))
+    assert pairs.count() == n * (n - 1) // 2 and links.count() == n - 1
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert sorted(components(forest(df)).collect()) == sorted(components(df).collect())
